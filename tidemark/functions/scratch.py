@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,14 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet into the shared folder and return the table read back."""
+    """Write ``df`` once as Parquet into the shared folder and return the table read back.
+
+    The shuffle files behind ``df`` are of no more use then; a collection lets Spark's cleaner delete them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    table = spark.read.schema(schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table made by :func:`cut` that nothing will read again."""
+    _delete(table.sparkSession, table._scratch_path)
 
 
 def drop_all(spark: SparkSession) -> None:
-    """Delete every intermediate table of this session's shared folder."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every intermediate table of the shared folder; results not yet written become unreadable."""
+    _delete(spark, f"{shared_dir(spark)}/tidemark")
