@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, mixing, secret_scan, substring_dedup
+from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, secret_scan, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_decontaminate, op5_secret_scan, op8_mixing, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_decontaminate, op5_secret_scan, op8_mixing, op9_line_dedup, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
