@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, secret_scan, substring_dedup
+from tidemark.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, secret_scan, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = language_id.learn(docs.where(language_id.remainder() != 0))
+    docs = docs.withColumn("held_out", F.coalesce(language_id.remainder() == 0, F.lit(False)))
+    return language_id.identify(docs, filters, keep=["doc_id", "held_out"])
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.overlaps(docs, items, keep=["doc_id"]))
@@ -41,7 +48,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_decontaminate, op5_secret_scan, op8_mixing, op9_line_dedup, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op4_decontaminate, op5_secret_scan, op8_mixing, op9_line_dedup, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
