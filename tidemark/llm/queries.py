@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, substring_dedup
+from tidemark.llm import decontaminate, html_extraction, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, filters, keep=["doc_id", "held_out"])
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.overlaps(docs, items, keep=["doc_id"]))
@@ -58,7 +62,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op4_decontaminate, op5_secret_scan, op6_quality_rules, op7_lm_scoring, op8_mixing, op9_line_dedup, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_html_extraction, op4_decontaminate, op5_secret_scan, op6_quality_rules, op7_lm_scoring, op8_mixing, op9_line_dedup, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
