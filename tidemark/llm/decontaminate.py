@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,9 +203,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
     return rows.select(*keep, "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
+def contaminated() -> Column:
+    """The verdict on rows of :func:`overlaps`: a hit, and a twentieth of the words or more hit."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
 def digest(found: DataFrame) -> DataFrame:
-    """The contamination verdict: a hit, and a twentieth of the words or more hit."""
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import decontaminate, html_extraction, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, substring_dedup
 
 
@@ -61,8 +62,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+QUERIES = [
+    op1_substring_dedup, op2_language_id, op3_html_extraction, op4_decontaminate, op5_secret_scan, op6_quality_rules,
+    op7_lm_scoring, op8_mixing, op9_line_dedup, op10_near_dedup,
+]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_html_extraction, op4_decontaminate, op5_secret_scan, op6_quality_rules, op7_lm_scoring, op8_mixing, op9_line_dedup, op10_near_dedup)}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
