@@ -10,10 +10,12 @@ linked when the exact Jaccard similarity of the two shingle sets is ``threshold`
 At a similarity of 0.8 a pair meets in one of 32 bands of 6 with a probability of 0.99994.
 
 Equal texts are one node, told apart by a 64-bit hash, so copies are never paired. Buckets are worked off without
-pairing all their members: in each of ``STARS`` rounds every bucket compares its members with one of them, chosen at
-random; members already known to be connected need no comparing. Pairs of a bucket that are still in different
-components after these rounds are then all compared, so no link that could join two components is left out. Classes are
-the connected components.
+pairing all their members. First every bucket compares its members with one of them, chosen at random. Members of one
+component need no more comparing; nodes of buckets that still hold several components go to an exact set join by
+prefix filtering. Shingles are ordered by rarity there, and two sets as similar as asked must share one of their
+rarest 1 - threshold parts. A large group of loose copies has its many own shingles in these parts and so few pairs,
+and no link that could join two components is left out. Rarity is read from a sketch of ``SLOTS`` counters: any order
+that all agree on is right, so the sketch's errors cost time only. Classes are the connected components.
 
 Texts of fewer than five words have one shingle, the whole text. Null texts and texts without words are in a class of
 their own. Repeated rows are in one class. Further columns are ignored.
@@ -36,7 +38,7 @@ from tidemark.llm import words as W
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-STARS = 3
+SLOTS = 1 << 20
 
 
 def shingle_sets(block: W.Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,14 +133,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_similar(threshold), "a long, b long")
 
 
-def _split_buckets(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """(bucket, node, label) of the buckets that hold several components."""
-    if links is None:
-        return members.withColumn("label", F.col("node"))
+def _split_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(bucket, node, label, is_main) of the buckets that hold several components; the main one has most nodes."""
     labels = components(links)
-    rows = cut(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    several = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    return cut(rows.join(cut(several, "several"), "bucket", "left_semi"), "open")
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    labels = cut(labels.join(sizes, "label"), "labels")
+    rows = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+    rows = cut(rows, "labelled")
+    several = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("size", "label")).alias("main")).where("lo < hi")
+    several = cut(several.select("bucket", F.col("main.label").alias("main")), "several")
+    return cut(rows.join(several, "bucket").select("bucket", "node", "label", (F.col("label") == F.col("main")).alias("is_main")), "open")
+
+
+def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, table = np.zeros(SLOTS, np.int64), W.space_table()
+    for b in batches:
+        for block in W.blocks(b.column("text"), table):
+            total += np.bincount((shingle_sets(block, SHINGLE)[1] % W.U(SLOTS)).astype(np.int64), minlength=SLOTS)
+    some = np.flatnonzero(total)
+    yield W.batch({"slot": (some.astype(np.int32), pa.int32()), "c": (total[some], pa.int64())})
+
+
+def _prefixes(sent, threshold: float):
+    """(token, node, label, only_main, n, place) of each set's rarest shingles, one of which a similar set must share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, counts = W.space_table(), sent.value
+        for b in batches:
+            for block in W.blocks(b.column("text"), table):
+                row, shingle, _ = shingle_sets(block, SHINGLE)
+                order = np.lexsort((shingle, counts[(shingle % W.U(SLOTS)).astype(np.int64)], row))
+                shingle = shingle[order]
+                n = np.bincount(row, minlength=block.rows)
+                place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+                keep = place < (n - np.ceil(threshold * n - 1e-9).astype(int) + 1)[row]
+                part = b.slice(block.lo, block.rows).take(pa.array(row[keep]))
+                columns = [pa.array(shingle[keep].astype(np.int64)), *(part.column(c) for c in ("node", "label", "only_main")), pa.array(n[row[keep]], pa.int32()), pa.array(place[keep], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "label", "only_main", "n", "place"])
+
+    return run
+
+
+def _prefix_pairs(open_buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components that share a prefix shingle and may be similar enough by size and place."""
+    nodes = open_buckets.groupBy("node", "label").agg(F.min("is_main").alias("only_main"))
+    sets = cut(texts.join(nodes, "node"), "sets")
+    rarity = sets.select("text").mapInArrow(_rarity, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()  # SLOTS rows at most
+    counts = np.zeros(SLOTS, np.int64)
+    counts[rarity["slot"].to_numpy(int)] = rarity["c"]
+    sent = sets.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    tokens = cut(sets.mapInArrow(_prefixes(sent, threshold), "token long, node long, label long, only_main boolean, n int, place int"), "prefixes")
+    # Of two nodes in different components of a bucket one is not in the bucket's main component.
+    other = tokens.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "place")])
+    both = tokens.where("NOT only_main").join(other, "token").where("label <> label2")
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-9)
+    may = (F.least("n", "n2") >= threshold * F.greatest("n", "n2") - 1e-9) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= need)
+    return both.where(may).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -156,27 +206,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = docs.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = cut(texts, "texts")
 
-    links, open_buckets = None, members.withColumn("label", F.col("node"))
-    for star in range(STARS + 1):
-        if open_buckets.isEmpty():
-            break
-        if star < STARS:
-            centre = F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("draw"), "node", "label"))
-            centres = open_buckets.groupBy("bucket").agg(centre.alias("c")).select("bucket", F.col("c.node").alias("b"), F.col("c.label").alias("other"))
-            met = open_buckets.join(cut(centres, "centres"), "bucket")
-        else:
-            met = open_buckets.join(open_buckets.select("bucket", F.col("node").alias("b"), F.col("label").alias("other")), "bucket").where("node < b")
-        pairs = met.where("label <> other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        found = cut(_verified(cut(pairs, "pairs"), texts, threshold), "links")
-        links = found if links is None else cut(links.unionByName(found), "links")
-        open_buckets = _split_buckets(members, links)
+    # One member of each bucket against the others, then an exact join of what is still apart.
+    centre = F.min(F.struct(F.xxhash64("node").alias("draw"), "node"))
+    centres = cut(members.groupBy("bucket").agg(centre.alias("c")).select("bucket", F.col("c.node").alias("centre")), "centres")
+    met = members.join(centres, "bucket").where("node <> centre")
+    pairs = cut(met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
+    links = cut(_verified(pairs, texts, threshold), "links")
+    open_buckets = _split_buckets(members, links)
+    more = cut(_prefix_pairs(open_buckets, texts, threshold).join(pairs, ["a", "b"], "left_anti"), "more_pairs")
+    links = cut(links.unionByName(_verified(more, texts, threshold)), "links")
 
     # A document without words is a class of its own, under its row's number.
     key = F.coalesce(F.col("label"), F.col("node"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    rows = sketched.select("row", "doc_id", "node")
-    if links is not None:
-        rows = rows.join(cut(components(links), "classes"), "node", "left").select("row", "doc_id", key.alias("node"))
+    labels = cut(components(links), "classes")
+    rows = sketched.select("row", "doc_id", "node").join(labels, "node", "left").select("row", "doc_id", key.alias("node"))
     lone = rows.where("node IS NULL").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("is_first"))
     rows = cut(rows.where("node IS NOT NULL"), "rows")
     classes = rows.groupBy("node").agg(F.min(order).alias("f"))
