@@ -48,7 +48,8 @@ def score(points: DataFrame, keys: list[str], method: str = "zscore", window: in
         z = X.z_score(v, F.col("baseline_mean"), F.col("baseline_std"))
     out = out.withColumn("cold_start", F.col("n") < min_samples)
     out = out.withColumn("z_score", F.when(F.col("cold_start"), 0.0).otherwise(z))
-    return out.withColumn("is_anomaly", F.abs("z_score") > threshold).drop("__w", "__med", "__dev")
+    # Strictly above; a score that only rounding has put above is at the threshold.
+    return out.withColumn("is_anomaly", F.abs("z_score") > threshold * (1 + 1e-12)).drop("__w", "__med", "__dev")
 
 
 def final_state(points: DataFrame, keys: list[str], window: int = C.WINDOW_SAMPLES) -> DataFrame:

@@ -66,9 +66,10 @@ def reason_kind(reason: Column) -> Column:
 
 def batches(validated: DataFrame, at: str = "at", seconds: int = C.BATCH_SECONDS) -> DataFrame:
     """Tumbling event-time batches: valid and invalid counts and the share of bad events; empty windows have no row."""
-    start = F.window(at, f"{seconds} seconds")["start"].alias("batch_ts")
-    out = validated.groupBy(start).agg(F.count_if(F.col("reason").isNull()).alias("n_valid"), F.count_if(F.col("reason").isNotNull()).alias("n_invalid"))
-    return out.withColumn("error_rate", F.coalesce(F.try_divide("n_invalid", F.col("n_valid") + F.col("n_invalid")), F.lit(0.0)))
+    window = F.window(at, f"{seconds} seconds").alias("__w")  # grouped whole, as its start alone has no watermark
+    out = validated.groupBy(window).agg(F.count_if(F.col("reason").isNull()).alias("n_valid"), F.count_if(F.col("reason").isNotNull()).alias("n_invalid"))
+    rate = F.coalesce(F.try_divide("n_invalid", F.col("n_valid") + F.col("n_invalid")), F.lit(0.0))
+    return out.select(F.col("__w.start").alias("batch_ts"), "n_valid", "n_invalid", rate.alias("error_rate"))
 
 
 def batch_records(records: DataFrame, at: str = "timestamp", seconds: int = C.BATCH_SECONDS) -> DataFrame:

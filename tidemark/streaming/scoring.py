@@ -31,7 +31,7 @@ def _scorer(method: str, window: int, threshold: float, min_samples: int):
                 mid = float(np.median(past))
                 mad = float(np.median(np.abs(past - mid)))
                 z = C.ROBUST_CONSTANT * (r.value - mid) / mad if mad > 0 else 0.0
-            out.append((key[0], r.timestamp, r.seq, r.value, len(held), mean, std, z, cold, abs(z) > threshold))
+            out.append((key[0], r.timestamp, r.seq, r.value, len(held), mean, std, z, cold, abs(z) > threshold * (1 + 1e-12)))
             held = [*held, float(r.value)][-window:]
         state.update((held,))
         yield pd.DataFrame(out, columns=["bucket", "timestamp", "seq", "value", "n", "baseline_mean", "baseline_std", "z_score", "cold_start", "is_anomaly"])
