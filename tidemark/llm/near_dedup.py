@@ -38,7 +38,7 @@ from tidemark.llm import words as W
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-SLOTS = 1 << 20
+SLOTS = 1 << 17
 
 
 def shingle_sets(block: W.Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +92,7 @@ def band_hashes(kept: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = W.space_table()
     for b in batches:
-        for block in W.blocks(b.column("text"), table, size=4 << 20):
+        for block in W.blocks(b.column("text"), table, size=2 << 20):
             rows = block.rows
             sketch = band_hashes(signatures(*shingle_sets(block, SHINGLE), rows))
             some = block.counts() > 0
@@ -178,9 +178,9 @@ def _prefix_pairs(open_buckets: DataFrame, texts: DataFrame, threshold: float) -
     """Pairs of different components that share a prefix shingle and may be similar enough by size and place."""
     nodes = open_buckets.groupBy("node", "label").agg(F.min("is_main").alias("only_main"))
     sets = cut(texts.join(nodes, "node"), "sets")
-    rarity = sets.select("text").mapInArrow(_rarity, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()  # SLOTS rows at most
+    rarity = sets.select("text").mapInArrow(_rarity, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # SLOTS rows at most
     counts = np.zeros(SLOTS, np.int64)
-    counts[rarity["slot"].to_numpy(int)] = rarity["c"]
+    counts[rarity["slot"].to_numpy()] = rarity["c"].to_numpy()
     sent = sets.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
     tokens = cut(sets.mapInArrow(_prefixes(sent, threshold), "token long, node long, label long, only_main boolean, n int, place int"), "prefixes")
     # Of two nodes in different components of a bucket one is not in the bucket's main component.
