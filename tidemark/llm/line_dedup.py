@@ -4,7 +4,8 @@ A line, without white space at its ends, is boilerplate if it is on ``min_sites`
 site only are dropped by a plain aggregation. Of the others each gets a HyperLogLog sketch of its sites; sketches
 merge by aggregation, on the map side first, so a line on a third of all pages is no large group. Where a sketch's
 estimate is within ``margin`` standard errors of the threshold, the sites are counted exactly. Boilerplate lines are
-then taken out of every document.
+then taken out of every document, by one join on the document's key that is the same at every size: the smaller side holds
+hashes of lines only, and what it weighs grows with the corpus, so it is not broadcast.
 
 Blank lines are never boilerplate. A null source is one unknown site. A null text stays null. Repeated rows and rows
 that share an id are each cleaned by their own text. Further columns pass through.
@@ -47,7 +48,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
     keys = cut(keys, "lines")
     found = cut(boilerplate(keys, min_sites), "boilerplate")
     per_doc = keys.select("rid", "line").join(found, "line", "left_semi").groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("line").alias("__gone"))
-    rows = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(cut(per_doc, "gone"), "__rid", "left")
+    rows = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(cut(per_doc, "gone").hint("shuffle_hash"), "__rid", "left")
     gone = F.coalesce("__gone", F.array().cast("array<bigint>"))
     kept = F.filter(split, lambda x: (F.btrim(x, F.lit(BLANK)) == "") | ~F.array_contains(gone, _key(x)))
     rows = rows.withColumn("__kept", F.when(F.size(gone) > 0, kept))
