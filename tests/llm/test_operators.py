@@ -1,0 +1,317 @@
+"""Each operator against a plain version of its contract, on documents with every edge case."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, html_extraction, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, substring_dedup
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+bag = lambda rows: Counter(map(repr, rows))
+
+
+def test_substring_dedup(stored, rows, none):
+    starts = defaultdict(lambda: math.inf)
+    for r in rows:
+        w = WORD.findall(r[1] or "")
+        for i in range(len(w) - 49):
+            if r[0] is not None:
+                starts[tuple(w[i : i + 50])] = min(starts[tuple(w[i : i + 50])], r[0])
+    want = []
+    for r in rows:
+        w = WORD.findall(r[1] or "")
+        gone = set()
+        for i in range(len(w) - 49):
+            if r[0] is not None and starts[tuple(w[i : i + 50])] < r[0]:
+                gone.update(range(i, i + 50))
+        want.append((r[0], len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    out = substring_dedup.remove_repeats(stored).select("doc_id", "n_words", "n_removed", "kept_text", "removed").collect()
+    assert bag(tuple(r)[:4] for r in out) == bag(want)
+    assert sum(w[2] for w in want) > 300
+    assert all(sum(s["end"] - s["start"] for s in r["removed"]) == r["n_removed"] for r in out)
+    assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def test_near_duplicates(stored, rows, none):
+    sets = {}
+    for r in rows:
+        w = WORD.findall(r[1] or "")
+        if w:
+            sets[r[1]] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)])
+    root = {t: t for t in sets}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for a in sets:
+        for b in sets:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = defaultdict(lambda: math.inf)
+    for r in rows:
+        if r[1] in sets and r[0] is not None:
+            least[find(r[1])] = min(least[find(r[1])], r[0])
+    want = [(r[0], least[find(r[1])] if r[1] in sets else r[0]) for r in rows]
+    out = near_dedup.near_duplicates(stored).collect()
+    assert bag((r["doc_id"], r["class_id"]) for r in out) == bag(want)
+    assert len({w[1] for w in want}) < len({w[0] for w in want}) - 8
+    firsts = Counter(r["class_id"] for r in out if r["is_first"])
+    assert all(n == 1 for c, n in firsts.items() if c not in (None, 7))  # two texts have the id 7
+    assert near_dedup.near_duplicates(none).count() == 0
+
+
+def test_signatures_estimate_probability_jaccard():
+    shingles = np.arange(300, dtype=np.uint64) * np.uint64(7919)
+    a, b = shingles[:250], shingles[50:]
+    row = np.repeat([0, 1, 2], [250, 250, 250])
+    kept = near_dedup.signatures(row, np.concatenate([a, b, a]), np.ones(750, int), 3)
+    assert (kept[0] == kept[2]).all()
+    assert abs((kept[0] == kept[1]).mean() - 200 / 300) < 0.12
+    weighted = near_dedup.signatures(np.repeat([0, 1], 250), np.concatenate([a, a]), np.concatenate([np.ones(250, int), np.full(250, 9)]), 2)
+    assert (weighted[0] == weighted[1]).all()  # one factor for all weights changes nothing
+
+
+@pytest.mark.parametrize("min_sites", [2, 5, 10])
+def test_line_dedup(docs, rows, none, min_sites):
+    sites = defaultdict(set)
+    lines = lambda t: t.split("\n") if t is not None else []
+    for r in rows:
+        for line in lines(r[1]):
+            sites[line.strip(" \t\r\v\f")].add(r[3])
+    gone = {k for k, v in sites.items() if k and len(v) >= min_sites}
+    want = []
+    for r in rows:
+        kept = [x for x in lines(r[1]) if x.strip(" \t\r\v\f") not in gone]
+        want.append((r[0], None if r[1] is None else "\n".join(kept), len(lines(r[1])), len(lines(r[1])) - len(kept)))
+    out = line_dedup.remove_boilerplate(docs, min_sites)
+    assert bag(map(tuple, out.select("doc_id", "text", "n_lines", "n_removed").collect())) == bag(want)
+    assert set(docs.columns) <= set(out.columns)
+    assert line_dedup.remove_boilerplate(none, min_sites).count() == 0
+
+
+def benchmark(spark, rows):
+    passage = rows[33][1].split()[-80:]
+    items = [(1, " ".join(passage[5:40]).upper()), (2, " ".join(passage[20:33])), (10, "one two"), (3, None), (4, "!!"), (None, " ".join(passage[60:75])), (2, "three")]
+    return spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 50])
+def test_decontamination(stored, rows, none, block_bytes):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    words = lambda t: word.findall((t or "").translate(low))
+    items = benchmark(stored.sparkSession, rows)
+    windows = defaultdict(set)
+    for i, t in map(tuple, items.collect()):
+        w = words(t)
+        n = min(13, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[k : k + n])].update([] if i is None else [str(i)])
+    want = []
+    for r in rows:
+        w, hit, found = words(r[1]), set(), set()
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+                    found |= windows[tuple(w[k : k + n])]
+        want.append((r[0], len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit) and 20 * len(hit) >= len(w)))
+    out = decontaminate.digest(decontaminate.overlaps(stored, items, keep=["doc_id"], block_bytes=block_bytes))
+    assert bag(map(tuple, out.collect())) == bag(want)
+    assert sum(w[5] for w in want) >= 3
+    whole = decontaminate.overlaps(stored, items)
+    assert {"n_hit", "items"} <= set(whole.columns) and {c for c in stored.columns if c not in ("n_words", "spans")} <= set(whole.columns)
+    assert decontaminate.overlaps(none, items).count() == 0
+    assert decontaminate.digest(decontaminate.overlaps(stored, items.where("false"))).where("contaminated OR n_hit > 0").count() == 0
+
+
+def test_secret_scan(stored, rows, none):
+    kinds = [("assign", secret_scan.PATTERNS["assign"], lambda m: len(m[2]) >= 6), ("access", secret_scan.PATTERNS["access"], lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24)]
+    want = []
+    for r in rows:
+        spans = sorted((m.start(), k, f"{n}:{m.start()}:{m.end()}") for k, (n, p, ok) in enumerate(kinds) for m in re.finditer(p, r[1] or "") if ok(m))
+        want.append((r[0], *(sum(s[1] == k for s in spans) for k in range(3)), sha(",".join(s[2] for s in spans))))
+    out = secret_scan.digest(secret_scan.scan(stored)).collect()
+    assert bag(tuple(r)[:5] for r in out) == bag(want)
+    assert sum(sum(w[1:4]) for w in want) >= 4
+    assert any("opaque:0:25" in r["spans"] for r in out)
+    assert secret_scan.scan(none).count() == 0
+
+
+def test_copied_secrets_are_not_added(spark):
+    live, shared = "Zx9Kq0LmN8pQr7StU6vWx5Yz4", "Ab3Ab3Cd4Cd4Ef5Ef5Gh6Gh6Ij7"
+    docs = spark.createDataFrame([(1, live, "s1"), *((i, f"see {shared}", f"s{i}") for i in range(2, 8))], "doc_id long, text string, source string")
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.digest(secret_scan.scan(docs)).collect()}
+    assert spans == {1: "opaque:0:25"} | dict.fromkeys(range(2, 8), "")
+
+
+def test_quality_statistics(stored, rows, none):
+    want = []
+    for r in rows:
+        t = r[1] or ""
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        twice = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        want.append((r[0], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(twice), len(w) < 50 or 100 * len(twice) > 50 * len(w)))
+    labels = stored.sparkSession.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    out = quality_rules.judge(stored, labels)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    assert bag(map(tuple, out.select(*columns).collect())) == bag(want)
+    assert out.where("kept = base_failed").count() == 0  # too few labels to certify a rule
+    assert quality_rules.judge(none, labels).count() == 0
+    assert quality_rules.judge(stored, labels.where("false")).where("kept = base_failed").count() == 0
+
+
+def test_exact_binomial_cutoffs():
+    assert quality_rules.binomial_tail(0, 10, 0.1) == pytest.approx(0.9**10)
+    assert quality_rules.binomial_tail(2, 5, 0.5) == pytest.approx(0.5)
+    passed, bad = np.arange(4), np.array([0, 50, 50, 50])
+    pick = lambda good: quality_rules.choose(passed, np.array(good), bad, 3, alpha=0.01, level=0.01, lift=3.0)
+    assert pick([5000, 0, 0, 0]) == 3
+    assert pick([5000, 0, 100, 0]) == 0  # cutoffs 1 and 2 reject 2 %
+    assert pick([5000, 100, 0, 0]) == 0 and pick([300, 0, 0, 0]) == 0  # too few labels for this risk
+
+
+def test_rules_reject_within_the_risk(spark):
+    clean = "plain words of a usual text that go on and differ " + " ".join(f"w{i}" for i in range(60))
+    junk = " ".join(f"w{i}###" for i in range(70))
+    docs = spark.createDataFrame([(i, junk if i % 2 else f"{clean} n{i}", "en") for i in range(8000)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("quality"))
+    out = quality_rules.judge(docs, labels)
+    assert out.where("doc_id % 2 = 0 AND NOT kept").count() == 0
+    assert out.where("doc_id % 2 = 1 AND kept").count() == 0
+
+
+def test_mixing(stored, rows, none):
+    out = [tuple(r) for r in mixing.fair_queue(stored).select("doc_id", "source", "size", "source_size", "target", "taken").collect()]
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        full = {s for s in free if weight[s] * unit >= 3 * sizes[s]}
+        if not full:
+            target |= {s: weight[s] * unit for s in free}
+            break
+        target |= {s: 3.0 * sizes[s] for s in full}
+        left -= sum(3 * sizes[s] for s in full)
+        free -= full
+    assert bag(r[:4] for r in out) == bag((r[0], r[3], len(WORD.findall(r[1] or "")), sizes[r[3]]) for r in rows)
+    taken = Counter()
+    for _, source, size, _, goal, n in out:
+        assert goal == pytest.approx(target[source]) and n <= 3 * size
+        taken[source] += n
+    assert sum(taken.values()) == sum(sizes.values())
+    assert all(abs(taken[s] - target[s]) <= len(order) for s in order)
+    again = mixing.fair_queue(stored.repartition(7)).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
+    assert bag(map(tuple, again)) == bag(out)
+    assert mixing.fair_queue(none).count() == 0
+
+
+def test_language_id(spark, none, rows, stored):
+    one, two = [f"the {a} and {b} of {c}" for a in ("house", "garden", "water") for b in ("stone", "wind") for c in ("morning", "light")], [f"der {a} und {b} von {c}" for a in ("Haus", "Garten", "Wasser") for b in ("Stein", "Wind") for c in ("Morgen", "Licht")]
+    labelled = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([(t, "en") for t in one] + [(t, "de") for t in two])] + [(None, "x", "en"), (99, None, "de"), (98, "qqq", None)], "doc_id long, text string, lang string")
+    filters = language_id.learn(labelled)
+    asked = spark.createDataFrame([(1, "the wind of the garden"), (2, "der Wind und das Licht"), (3, None), (4, "12 !!"), (5, ""), (6, "жжж"), (1, "the wind of the garden")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(asked, filters).collect()}
+    assert (got[1][0], got[2][0], got[3], got[4], got[5]) == ("en", "de", ("und", 0.0), ("und", 0.0), ("und", 0.0))
+    assert got[6] == (filters.languages[0], 0.0) and all(0 <= s <= 1 for _, s in got.values())
+    nothing = language_id.learn(none)
+    assert {r["lang_pred"] for r in language_id.identify(asked, nothing).collect()} == {"und"}
+    out = language_id.identify(stored, filters)
+    assert out.count() == len(rows) and out.columns == [*(c for c in stored.columns if c != "score"), "lang_pred", "score"]
+    assert language_id.identify(none, filters).count() == 0
+
+
+def test_filters_return_all_languages_of_an_ngram():
+    grams = [np.arange(100 * k, 100 * k + 150, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k in range(70)]  # over 64 languages
+    filters = language_id.Filters.build([str(k) for k in range(70)], grams)
+    for k, g in enumerate(grams):
+        found = np.ones(len(g), np.uint64) * np.uint64(2**64 - 1)
+        for at in filters.places(g):
+            found &= filters.masks[k // 64, at]
+        assert ((found >> np.uint64(k % 64)) & np.uint64(1)).all()
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    filters = language_id.learn(docs.where(language_id.remainder() != 0))
+    out = language_id.identify(docs.where(language_id.remainder() == 0), filters)
+    assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.95
+
+
+def test_lm_scores(stored, rows, none):
+    known, net = lm_scoring.train(stored)
+    out = lm_scoring.score(stored, known, net).collect()
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    assert bag((r["doc_id"], r["n_tokens"]) for r in out) == bag((r[0], len(word.findall((r[1] or "").translate(low)))) for r in rows)
+    assert all((r["log_likelihood"] < 0) == (r["n_tokens"] > 0) and (r["mean_log_likelihood"] is None) == (r["n_tokens"] == 0) for r in out)
+    again = {(r["doc_id"], r["n_tokens"]): r["log_likelihood"] for r in lm_scoring.score(stored, known, net).collect()}
+    assert all(again[r["doc_id"], r["n_tokens"]] == pytest.approx(r["log_likelihood"], rel=1e-4) for r in out)
+    assert lm_scoring.score(none, *lm_scoring.train(none)).count() == 0
+
+
+def test_network_probabilities_and_gradients():
+    draw = np.random.default_rng(1)
+    net = lm_scoring.Network()
+    around = draw.integers(0, lm_scoring.VOCABULARY + 1, (len(lm_scoring.PLACES), 1))
+    each = net.log_probability(np.arange(lm_scoring.VOCABULARY), np.repeat(around, lm_scoring.VOCABULARY, axis=1))
+    assert np.exp(each).sum() == pytest.approx(1, abs=1e-4)
+    token, around = draw.integers(0, lm_scoring.VOCABULARY, 50), draw.integers(0, lm_scoring.VOCABULARY + 1, (len(lm_scoring.PLACES), 50))
+    grad = net.gradients(token, around)
+    for name, at in (("outputs", (3, int(token[0]))), ("bias", (int(token[1]),)), ("inputs", (1, int(around[1][2]), 5))):
+        up, down = (lm_scoring.Network(net.weights) for _ in range(2))
+        up.weights[name][at] += 1e-2
+        down.weights[name][at] -= 1e-2
+        slope = -(up.log_probability(token, around).mean() - down.log_probability(token, around).mean()) / 2e-2
+        assert grad[name][at] == pytest.approx(slope, abs=2e-4)
+
+
+def test_training_learns(spark):
+    text = " ".join(["the cat sat on the mat and the dog ran to the park"] * 400)
+    docs = spark.createDataFrame([(i, text) for i in range(4)] + [(9, " ".join(reversed(text.split())))], "doc_id long, text string").coalesce(1)
+    known, net = lm_scoring.train(docs.where("doc_id < 9"))
+    mean = {r["doc_id"]: r["mean_log_likelihood"] for r in lm_scoring.score(docs, known, net).collect()}
+    assert mean[0] > -1.0 and mean[0] > mean[9] + 0.5
+
+
+PAGES = {
+    "<p>One, two &amp; three.</p><script>var t='</p>'</script>": "One, two & three.",
+    "<body><nav><ul><li><a href=x>Menu</a></ul></nav><article><h1>T</h1><p><b>Bold.<br><p>Second\n para.</article><footer>(c)</footer>": "T\nBold.\nSecond para.",
+    "<div class='sidebar'><p>No, no, no</p></div><div id=main><p>Yes, it is the text.</p><p>More of it.</p><div class=comments><p>I, too, think so, indeed, yes</p></div></div>": "Yes, it is the text.\nMore of it.",
+    "<!-- <p>hidden</p> --><p>a&nbsp;b &#65;&lt;</p>": "a b A<",
+    "": "",
+    "plain text": "plain text",
+    "<div class=comment><p>All there is.</p></div>": "All there is.",
+    "<table><tr><td>x, y<td>z</table>": "x, y\nz",
+    "<article><p>open": "open",
+    "<form><p>Name, please</p></form><p>Kept.</p><div class='cookie-notice'>We use, cookies, many, many</div>": "Kept.",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_main_text(page):
+    assert html_extraction.main_text(page) == PAGES[page]
+
+
+def test_pages(spark):
+    rows = [(1, "u", "<p>a, b</p>", 1), (None, None, None, 2), (1, "u", "<p>a, b</p>", 3), (4, "v", "<div>" * 20_000 + "deep" + "</i>" * 20_000, 4), (5, "w", "<p>" + "long, " * 50_000, 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    out = sorted((r["page_id"] or 0, r["text"]) for r in html_extraction.extract(pages).collect())
+    assert out == [(0, ""), (1, "a, b"), (1, "a, b"), (4, "deep"), (5, ("long, " * 50_000).strip())]
+    assert html_extraction.extract(pages.where("false")).count() == 0

@@ -3,8 +3,10 @@
 Each source has a weight and a target: its share of the budget, at most ``cap`` times its size, with what a capped
 source leaves shared by weight among the others. A source's documents are shuffled by hash and queued, ``cap`` rounds
 of them one after the other. A queued document's virtual finish time is its source's tokens up to its end divided by
-the source's target. All queues are range-sorted by finish time and served until the budget is used up; the last
-document served may be cut. So at any moment each source has had its share to within one document.
+the source's target. At virtual time 1 a source has had its target; a document that is being served then is cut in two
+there, so the first part finishes at 1. All queues are range-sorted by finish time and served until the budget is used
+up; the last document served may be cut. So each source gets its target to within a word, and some words more where
+targets are no whole numbers.
 
 Running totals never gather a source in one task: hash order is cut into bins, bins are summed, and a total is its
 bin's offset plus a sum in the bin; the global order is cut into Spark's range partitions in the same way.
@@ -75,8 +77,12 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
     upto = F.col("offset") + F.sum("size").over(in_bin)
     queued = rows.join(offsets, ["rank", "bin"]).withColumn("upto", upto).where("size > 0 AND target > 0")
     queued = queued.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
-    finish = (F.col("upto") + F.col("round") * F.col("source_size")) / F.col("target")
-    queued = queued.select("row", "size", "budget", "rank", "round", "key", "doc_id", finish.alias("finish"))
+    end = F.col("upto") + F.col("round") * F.col("source_size")
+    # The words that the source's target still has for a document; the first part of one that has more is cut off there.
+    owed = F.floor("target") - end + F.col("size")
+    parts = F.when((owed > 0) & (owed < F.col("size")), F.array(F.struct(F.lit(1.0).alias("finish"), owed.alias("size")), F.struct((end / F.col("target")).alias("finish"), (F.col("size") - owed).alias("size"))))
+    queued = queued.withColumn("part", F.explode(F.coalesce(parts, F.array(F.struct((end / F.col("target")).alias("finish"), F.col("size").alias("size"))))))
+    queued = queued.select("row", "part.size", "budget", "rank", "round", "key", "doc_id", "part.finish")
 
     # The global order, in range partitions; each one's tokens before it, then a running total in it.
     order = ["finish", "rank", "round", "key", "doc_id", "row"]
@@ -115,9 +121,14 @@ def oracle(weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 0, do
       SELECT s.doc_id, s.source, s.size, s.key, t.source_size, t.target, t.rank, t.budget,
              sum(s.size) OVER (PARTITION BY t.rank ORDER BY s.key, s.doc_id ROWS UNBOUNDED PRECEDING) AS upto
       FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-    served AS (
-      SELECT q.*, r.round, (upto + r.round * source_size)::DOUBLE / target AS finish
+    rounds AS (
+      SELECT q.*, r.round, (upto + r.round * source_size)::DOUBLE / target AS finish,
+             floor(target)::BIGINT - (upto + r.round * source_size) + size AS owed
       FROM queued q, range({cap}) r(round) WHERE size > 0 AND target > 0),
+    served AS (
+      SELECT * FROM rounds WHERE owed <= 0 OR owed >= size
+      UNION ALL SELECT * REPLACE (owed AS size, 1.0::DOUBLE AS finish) FROM rounds WHERE owed > 0 AND owed < size
+      UNION ALL SELECT * REPLACE (size - owed AS size) FROM rounds WHERE owed > 0 AND owed < size),
     totals AS (
       SELECT doc_id, greatest(0, least(size, budget - sum(size) OVER (
         ORDER BY finish, rank, round, key, doc_id ROWS UNBOUNDED PRECEDING) + size)) AS here FROM served),
