@@ -72,3 +72,19 @@ def decayed(points: DataFrame, keys: list[str], alpha: float, window: int = C.WI
 
 def counters(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("processed"), F.count_if("is_anomaly").alias("anomalies"), F.count_if("cold_start").alias("cold"))
+
+
+STATE = "struct<count:bigint,mean:double,std:double,window:array<double>>"
+
+
+def state_json(state: DataFrame) -> DataFrame:
+    """Bucket states as one JSON column ``state`` beside their keys."""
+    fields = ["count", "mean", "std", "window"]
+    return state.select(*[c for c in state.columns if c not in fields], F.to_json(F.struct(*fields)).alias("state"))
+
+
+def state_of(rows: DataFrame) -> DataFrame:
+    """The inverse of :func:`state_json`; a missing state is an empty bucket."""
+    held = F.from_json("state", STATE)
+    parts = {"count": F.coalesce(held["count"], F.lit(0)), "mean": F.coalesce(held["mean"], F.lit(0.0)), "std": F.coalesce(held["std"], F.lit(0.0)), "window": F.coalesce(held["window"], F.array().cast("array<double>"))}
+    return rows.withColumns(parts).drop("state")

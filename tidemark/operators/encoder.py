@@ -52,6 +52,18 @@ def load_weights(data: bytes, strict: dict[str, np.ndarray] | None = None) -> di
     return weights
 
 
+def from_entry(entry: dict, meta: dict) -> dict[str, np.ndarray]:
+    """The weights a registry entry names, checked against the vocabularies of its feature metadata."""
+    sizes = [len(meta["vocab_maps"][c]) + 1 for c in C.CATEGORICAL]
+    with open(entry["weights_path"], "rb") as f:
+        return load_weights(f.read(), strict=seeded_weights(sizes))
+
+
+def time2vec_parameters(weights: dict[str, np.ndarray]) -> dict[str, list[float]]:
+    """The learned time encoding, for a registry entry."""
+    return {"weights": [float(x) for x in weights["t_w"]], "phases": [float(x) for x in weights["t_b"]]}
+
+
 def _layer_norm(x: np.ndarray) -> np.ndarray:
     return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5)
 

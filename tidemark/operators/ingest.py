@@ -72,6 +72,11 @@ def batches(validated: DataFrame, at: str = "at", seconds: int = C.BATCH_SECONDS
     return out.select(F.col("__w.start").alias("batch_ts"), "n_valid", "n_invalid", rate.alias("error_rate"))
 
 
+def observed(validated: DataFrame, observation) -> DataFrame:
+    """Count received and invalid lines while they pass, into an ``Observation`` or a named metric of a stream."""
+    return validated.observe(observation, F.count(F.lit(1)).alias("received"), F.count_if(F.col("reason").isNotNull()).alias("invalid"))
+
+
 def batch_records(records: DataFrame, at: str = "timestamp", seconds: int = C.BATCH_SECONDS) -> DataFrame:
     """The records of each batch as an array, in order."""
     start = F.window(at, f"{seconds} seconds")["start"].alias("batch_ts")

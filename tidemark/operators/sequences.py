@@ -76,3 +76,8 @@ def padded(sequences: DataFrame, length: int) -> DataFrame:
     """Steps filled with zeros up to ``length``."""
     zero = F.struct(F.array(*[F.lit(0.0).cast("float")] * 3).alias("num"), F.array(*[F.lit(0)] * 4).alias("cat"), F.lit(0.0).cast("float").alias("ts"))
     return sequences.withColumn("steps", F.concat("steps", F.array_repeat(zero, F.greatest(F.lit(0), F.lit(length) - F.col("length")))))
+
+
+def shuffled(windows: DataFrame, group: list[str], seed: int = 0) -> DataFrame:
+    """Windows in a seeded random order, each kept together."""
+    return windows.orderBy(F.xxhash64(F.lit(seed), *group), *group, "pos")

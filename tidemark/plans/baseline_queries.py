@@ -87,6 +87,14 @@ def bucket_state_final(spark, sf_dir):
     return state.select("metric_name", big("hour").alias("hour"), "is_weekend", "count", r6("mean").alias("mean"), r6("std").alias("std"), readings.alias("readings"))
 
 
+@query(f"""
+WITH p AS ({_points_sql()}), r AS (SELECT *, row_number() OVER (PARTITION BY metric_name, hour, is_weekend ORDER BY ts DESC, seq DESC) AS rn FROM p)
+SELECT metric_name, hour, is_weekend, count(*) AS count, round(avg(value), 6) AS mean, count(*) AS held FROM r WHERE rn <= 30 GROUP BY ALL""")
+def state_json_round_trip(spark, sf_dir):
+    state = B.state_of(B.state_json(B.final_state(B.with_buckets(_points(spark, sf_dir)), FLEET)))
+    return state.select("metric_name", big("hour").alias("hour"), "is_weekend", "count", r6("mean").alias("mean"), big(F.size("window")).alias("held"))
+
+
 @query(f"WITH s AS ({_score_sql('metric_name, hour, is_weekend')}) SELECT count(*) AS processed, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (cold_start) AS cold FROM s")
 def anomaly_counters(spark, sf_dir):
     return B.counters(B.score(B.with_buckets(_points(spark, sf_dir)), FLEET))

@@ -152,6 +152,21 @@ def mmd_drift(spark, sf_dir):
     return D.mmd(rows).select("entity_id", r6("sigma").alias("sigma"), r6("mmd2").alias("mmd2"))
 
 
+@query(f"""WITH v0 AS ({VECTORS}), {_SIDES},
+p AS (SELECT a.entity_id, a.side AS s1, b.side AS s2, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d
+  FROM k a JOIN k b ON a.entity_id = b.entity_id AND (a.side < b.side OR a.side = b.side AND a.vec_id < b.vec_id)),
+g AS (SELECT entity_id, median(sqrt(d)) / sqrt(2) AS sigma FROM p GROUP BY entity_id),
+e AS (SELECT p.entity_id, s1, s2, exp(-d / (2 * sigma * sigma)) AS kv, sigma FROM p JOIN g USING (entity_id)),
+m AS (SELECT entity_id, avg(kv) FILTER (s1 = 'now' AND s2 = 'now') + avg(kv) FILTER (s1 = 'past' AND s2 = 'past') - 2 * avg(kv) FILTER (s1 = 'now' AND s2 = 'past') AS mmd2 FROM e GROUP BY entity_id),
+n AS (SELECT *, CASE WHEN entity_id <> 'vm-9' THEN least(1, greatest(0, mmd2 / 0.0099::DOUBLE)) ELSE 0.5 END::DOUBLE AS drift FROM m)
+SELECT entity_id, round(drift, 5) + 0.0::DOUBLE AS drift, drift > 0.5 AS drift_flag FROM n""")
+def drift_scores(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select("entity_id", F.when(F.col("vec_id") % 2 == 0, "now").otherwise("past").alias("side"), F.col("vec_id").alias("id"), "embedding")
+    mmds = D.mmd(rows)
+    null = mmds.where("entity_id <> 'vm-9'").select("entity_id", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("i")).select("entity_id", (F.col("i") / 10000.0).alias("mmd2"))
+    return D.drift_score(mmds, null).select("entity_id", (F.round("drift", 5) + 0.0).alias("drift"), "drift_flag")
+
+
 @query(f"""WITH v AS ({VECTORS}), a AS (SELECT vec_id AS i, 0 AS view, embedding AS e FROM v WHERE vec_id < 32 UNION ALL SELECT vec_id - 32, 1, embedding FROM v WHERE vec_id BETWEEN 32 AND 63),
 s AS (SELECT x.i, x.view, y.i AS j, list_sum(list_transform(list_zip(x.e, y.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / 0.07::DOUBLE AS s FROM a x JOIN a y ON x.i <> y.i OR x.view <> y.view),
 r AS (SELECT i, view, ln(sum(exp(s - 1 / 0.07::DOUBLE))) + 1 / 0.07::DOUBLE - max(CASE WHEN i = j THEN s END) AS l FROM s GROUP BY ALL) SELECT round(avg(l), 6) AS loss FROM r""")
