@@ -213,3 +213,28 @@ def digest(found: DataFrame) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
+
+
+def oracle(window: int = WINDOW) -> str:
+    """DuckDB SQL for :func:`digest`, for tables whose ids differ."""
+    words = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+    return f"""
+    WITH items AS (SELECT item_id, {words} AS ws FROM benchmark WHERE text IS NOT NULL),
+    sized AS (SELECT *, least({window}, len(ws)) AS n FROM items WHERE len(ws) > 0),
+    windows AS (
+      SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') AS w
+      FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM sized)),
+    cells AS (SELECT doc_id, coalesce({words}, []::VARCHAR[]) AS ws FROM documents),
+    lengths AS (SELECT DISTINCT n FROM windows),
+    runs AS (
+      SELECT doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') AS w
+      FROM (SELECT c.*, l.n, unnest(range(1, len(ws) - l.n + 2)) AS i FROM cells c, lengths l)),
+    met AS (SELECT r.doc_id, r.i, r.n, w.item_id FROM runs r JOIN windows w ON r.n = w.n AND r.w = w.w),
+    hits AS (
+      SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT doc_id, i, unnest(range(n)) AS k FROM met) GROUP BY doc_id),
+    found AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM met WHERE item_id IS NOT NULL) GROUP BY doc_id)
+    SELECT c.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+    FROM cells c LEFT JOIN hits h ON h.doc_id = c.doc_id LEFT JOIN found f ON f.doc_id = c.doc_id"""

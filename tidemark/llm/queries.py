@@ -73,4 +73,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.oracle(), "op9_line_dedup": line_dedup.oracle()}
+    return {
+        "op1_substring_dedup": substring_dedup.oracle(), "op4_decontaminate": decontaminate.oracle(), "op8_mixing": mixing.oracle(), "op9_line_dedup": line_dedup.oracle(),
+    }

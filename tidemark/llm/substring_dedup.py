@@ -242,3 +242,23 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = SEED, docs_per
     rows = docs.select(shard_of, F.lit(True).alias("is_doc"), "doc_id", "text").unionByName(cut(sent, "sent"))
     rows = rows.repartition("shard").sortWithinPartitions("shard", "is_doc")
     return rows.mapInArrow(_locate, "doc_id long, kept_text string, n_words long, n_removed long, removed array<struct<start:bigint,end:bigint>>")
+
+
+def oracle(window: int = 50) -> str:
+    """DuckDB SQL for the digest of :func:`remove_repeats`, for tables whose ids differ."""
+    return rf"""
+    WITH cells AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS ws FROM documents),
+    windows AS (
+      SELECT doc_id, i, md5(array_to_string(ws[i : i + {window - 1}], ' ')) AS h
+      FROM (SELECT *, unnest(range(1, len(ws) - {window - 2})) AS i FROM cells)),
+    first AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
+    gone AS (
+      SELECT DISTINCT doc_id, i + k AS place FROM (
+        SELECT w.doc_id, w.i, unnest(range({window})) AS k FROM windows w JOIN first f ON w.h = f.h AND f.least < w.doc_id)),
+    spread AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM cells),
+    marked AS (SELECT s.*, g.place IS NOT NULL AS is_gone FROM spread s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.place = s.place),
+    kept AS (
+      SELECT doc_id, count(*) FILTER (is_gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY place) FILTER (NOT is_gone), '') AS kept
+      FROM marked GROUP BY doc_id)
+    SELECT c.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM cells c LEFT JOIN kept k ON k.doc_id = c.doc_id"""
