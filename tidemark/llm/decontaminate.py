@@ -29,7 +29,7 @@ from tidemark.functions.scratch import cut
 from tidemark.llm import words as W
 
 WINDOW, SHINGLE = 13, 4
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 19
 TEXT = "__text"
 HIT = "n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
