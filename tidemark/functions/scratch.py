@@ -42,6 +42,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def document_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches have ``rows`` rows at most, where the session still has Spark's default.
+
+    Rows that are whole documents make batches of 10,000 rows large, twice over in a join's result.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
