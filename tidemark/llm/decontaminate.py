@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scratch import cut
+from tidemark.functions.scratch import cut, document_batches
 from tidemark.llm import words as W
 
 WINDOW, SHINGLE = 13, 4
@@ -182,6 +182,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
     ``spans`` are the word ranges inside item windows and ``items`` the ids of these items, in order. Columns of
     ``docs`` by these names are replaced.
     """
+    document_batches(docs.sparkSession)
     spark, added = docs.sparkSession, {"n_words", "n_hit", "spans", "items"}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     fields = [docs.schema[c] for c in keep]

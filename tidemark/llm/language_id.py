@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.scratch import document_batches
 from tidemark.llm import words as W
 
 PROFILE, RATIO, SAMPLE = 8192, 3.0, 4000
@@ -115,6 +116,7 @@ class Filters:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, profile: int = PROFILE, ratio: float = RATIO) -> Filters:
     """Fit filters on rows (doc_id, text, lang)."""
+    document_batches(labelled.sparkSession)
     labelled = labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one row a language
     if not sizes:
@@ -135,6 +137,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, profile: int = PROFILE, rat
 
 def identify(docs: DataFrame, filters: Filters, keep: list[str] | None = None) -> DataFrame:
     """Return the columns ``keep`` of ``docs`` (all, if not given) with lang_pred and score, which replace their like."""
+    document_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     sent = docs.sparkSession.sparkContext.broadcast(filters)  # a fixed number of slots
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import document_batches
 from tidemark.llm import words as W
 
 WORDS, BUCKETS = 224, 32
@@ -151,6 +152,7 @@ def _train(sent, turn: int):
 
 def train(docs: DataFrame) -> tuple[np.ndarray, Network]:
     """The vocabulary and the network, learned from all documents."""
+    document_batches(docs.sparkSession)
     spark, known, net = docs.sparkSession, vocabulary(docs), Network()
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast((known, net.weights))  # one model

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.graph import components
-from tidemark.functions.scratch import cut
+from tidemark.functions.scratch import cut, document_batches
 from tidemark.llm import words as W
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -92,7 +92,7 @@ def band_hashes(kept: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = W.space_table()
     for b in batches:
-        for block in W.blocks(b.column("text"), table, size=2 << 20):
+        for block in W.blocks(b.column("text"), table):
             rows = block.rows
             sketch = band_hashes(signatures(*shingle_sets(block, SHINGLE), rows))
             some = block.counts() > 0
@@ -197,6 +197,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``class_id`` is the least doc_id of its class, ``is_first`` marks one row of each class, and ``row`` numbers the
     rows of ``docs`` as ``monotonically_increasing_id`` does.
     """
+    document_batches(docs.sparkSession)
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("node"), "text")
     sketched = cut(docs.mapInArrow(_sketch, "row long, doc_id long, node long, bands array<long>"), "sketches")
     banded = sketched.where("node IS NOT NULL").select("node", F.explode("bands").alias("bucket"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scratch import cut
+from tidemark.functions.scratch import cut, document_batches
 from tidemark.llm import words as W
 
 ALPHA, DELTA, LIFT = 0.01, 0.05, 3.0
@@ -84,6 +84,7 @@ def _repeated(block: W.Block, n: int) -> np.ndarray:
 
 def statistics(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     """Return the base statistics of each document, with its row number and stratum."""
+    document_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col(stratum).cast("string").alias("stratum"), "text")
     return rows.mapInArrow(_statistics, STATISTICS)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scratch import cut, release
+from tidemark.functions.scratch import cut, document_batches, release
 from tidemark.llm import words as W
 
 SEED = 8
@@ -200,6 +200,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = SEED, docs_per
     """
     if not 0 < seed <= window:
         raise ValueError("seed must be from 1 to window")
+    document_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rid"))
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     shards = max(1, docs.count() // docs_per_shard)
