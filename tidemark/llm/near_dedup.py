@@ -167,7 +167,7 @@ def _prefixes(sent, threshold: float):
                 n = np.bincount(row, minlength=block.rows)
                 place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 keep = place < (n - np.ceil(threshold * n - 1e-9).astype(int) + 1)[row]
-                part = b.slice(block.lo, block.rows).take(pa.array(row[keep]))
+                part = b.select(["node", "label", "only_main"]).slice(block.lo, block.rows).take(pa.array(row[keep]))
                 columns = [pa.array(shingle[keep].astype(np.int64)), *(part.column(c) for c in ("node", "label", "only_main")), pa.array(n[row[keep]], pa.int32()), pa.array(place[keep], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "label", "only_main", "n", "place"])
 
