@@ -39,6 +39,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 SLOTS = 1 << 17
+MASKS = 8
+MASK_NAMES = [f"m{i}" for i in range(MASKS)]
 
 
 def shingle_sets(block: W.Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +157,10 @@ def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(sent, threshold: float):
-    """(token, node, label, only_main, n, place) of each set's rarest shingles, one of which a similar set must share."""
+    """(token, node, label, only_main, n, place, masks) of each set's rarest shingles, one of which a similar set must share.
+
+    The masks are the set's parities over 64 * MASKS hash slots: two sets differ in as many shingles at least as in bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, counts = W.space_table(), sent.value
@@ -167,27 +172,33 @@ def _prefixes(sent, threshold: float):
                 n = np.bincount(row, minlength=block.rows)
                 place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 keep = place < (n - np.ceil(threshold * n - 1e-9).astype(int) + 1)[row]
+                bit = (W.mix(shingle) % W.U(64 * MASKS)).astype(np.int64)
+                parity = np.bincount(row * 64 * MASKS + bit, minlength=block.rows * 64 * MASKS).astype(W.U).reshape(block.rows, MASKS, 64) & W.U(1)
+                masks = (parity << np.arange(64, dtype=W.U)).sum(axis=2, dtype=W.U)
                 part = b.select(["node", "label", "only_main"]).slice(block.lo, block.rows).take(pa.array(row[keep]))
                 columns = [pa.array(shingle[keep].astype(np.int64)), *(part.column(c) for c in ("node", "label", "only_main")), pa.array(n[row[keep]], pa.int32()), pa.array(place[keep], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "label", "only_main", "n", "place"])
+                columns += [pa.array(W.signed(masks[:, i][row[keep]]), pa.int64()) for i in range(MASKS)]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "label", "only_main", "n", "place", *MASK_NAMES])
 
     return run
 
 
 def _prefix_pairs(open_buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components that share a prefix shingle and may be similar enough by size and place."""
+    """Pairs of different components that share a prefix shingle and may be similar enough by size, place and masks."""
     nodes = open_buckets.groupBy("node", "label").agg(F.min("is_main").alias("only_main"))
     sets = cut(texts.join(nodes, "node"), "sets")
     rarity = sets.select("text").mapInArrow(_rarity, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # SLOTS rows at most
     counts = np.zeros(SLOTS, np.int64)
     counts[rarity["slot"].to_numpy()] = rarity["c"].to_numpy()
     sent = sets.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
-    tokens = cut(sets.mapInArrow(_prefixes(sent, threshold), "token long, node long, label long, only_main boolean, n int, place int"), "prefixes")
+    tokens = cut(sets.mapInArrow(_prefixes(sent, threshold), "token long, node long, label long, only_main boolean, n int, place int, " + ", ".join(f"{m} long" for m in MASK_NAMES)), "prefixes")
     # Of two nodes in different components of a bucket one is not in the bucket's main component.
-    other = tokens.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "place")])
+    other = tokens.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "place", *MASK_NAMES)])
     both = tokens.where("NOT only_main").join(other, "token").where("label <> label2")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-9)
     may = (F.least("n", "n2") >= threshold * F.greatest("n", "n2") - 1e-9) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= need)
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}2"))) for m in MASK_NAMES), F.lit(0))
+    may &= differ <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("n2")) + 1e-9
     return both.where(may).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
