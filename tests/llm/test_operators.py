@@ -290,6 +290,33 @@ def test_training_learns(spark):
     assert mean[0] > -1.0 and mean[0] > mean[9] + 0.5
 
 
+def test_vocabulary_follows_the_corpus(spark):
+    draw = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in draw.zipf(1.2, 2000) % 30_000)) for i in range(60)], "doc_id long, text string")
+    small, large = lm_scoring.vocabulary(docs.where("doc_id < 15")), lm_scoring.vocabulary(docs)
+    words = Counter(w for r in docs.collect() for w in r["text"].split())
+    assert 1.5 * len(small.words) < len(large.words) and len(large.words) == pytest.approx(2 * math.sqrt(120_000), rel=0.1)
+    assert large.counts.sum() == 120_000 and len(large.words) + np.exp(large.log_size)[large.counts[len(large.words) :] > 0].sum() == pytest.approx(len(words))
+    net = lm_scoring.Network(tree=lm_scoring.Tree(large.counts))
+    each = net.log_probability(np.arange(large.size), np.full((len(lm_scoring.PLACES), large.size), large.size))
+    assert np.exp(each).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_training_masks_every_token_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "h i")], "doc_id long, text string").coalesce(1)
+    known = lm_scoring.vocabulary(docs)
+    net = lm_scoring.Network(tree=lm_scoring.Tree(known.counts))
+    seen = []
+    monkeypatch.setattr(lm_scoring.Network, "learn", lambda self, token, around, squares: seen.extend(token.tolist()))
+
+    class Sent:
+        value = (known, net.tree, net.weights)
+
+    for turn in range(lm_scoring.ROUNDS):
+        list(lm_scoring._train(Sent, turn)(docs.select("text").toArrow().to_batches()))
+    assert len(known.words) == 9 and sorted(seen) == list(range(9))
+
+
 PAGES = {
     "<p>One, two &amp; three.</p><script>var t='</p>'</script>": "One, two & three.",
     "<body><nav><ul><li><a href=x>Menu</a></ul></nav><article><h1>T</h1><p><b>Bold.<br><p>Second\n para.</article><footer>(c)</footer>": "T\nBold.\nSecond para.",

@@ -1,13 +1,16 @@
 """LM scoring by masked pseudo-likelihood, with a bidirectional window network trained in numpy.
 
 The network predicts a token from the ``SIDE`` tokens on each side, never from itself: one input table for each place,
-summed, tanh, softmax over the vocabulary. A document's score is the sum over its tokens of the log-probability of the
-token given both sides (its pseudo-log-likelihood).
+summed, tanh, and a binary decision at each node of a Huffman tree on the way to the token, so probabilities add up to 1
+over a vocabulary of any size. A document's score is the sum over its words of the log-probability of the word given both
+sides (its pseudo-log-likelihood).
 
-The vocabulary is the corpus's most frequent words, counted over all documents, and ``BUCKETS`` classes by hash for the
-rest. Training reads all documents too: in each of ``ROUNDS`` rounds every part of the corpus starts from the same
-weights, learns from its own documents with one token in ``MASK`` masked, drawn by place, and sends its weights. Their mean,
-weighted by tokens, starts the next round. Sums are aggregated by Spark; the driver sees one model and no text.
+The vocabulary follows the corpus: the most frequent words, ``GROWTH`` times the root of the number of tokens, counted
+over all documents, and a quarter as many classes by hash for the rest. A word of a class has the class's probability
+divided by the number of words in it. Training reads all documents: in each of ``ROUNDS`` rounds every part of the corpus
+starts from the same weights, learns from its own documents with one token in ``ROUNDS`` masked, drawn by place, and sends
+its weights; the rounds' draws are disjoint and together mask every token once. The mean of the weights, weighted by
+tokens, starts the next round. Spark sums them in pieces; the driver sees one model and no text.
 
 Tokens are runs of ASCII letters in lower case, digits and other characters from 0x80. A null text, or one without
 tokens, scores 0 with no mean. Repeated rows give a row each. Further columns are ignored.
@@ -15,22 +18,24 @@ tokens, scores 0 with no mean. Repeated rows give a row each. Further columns ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scratch import document_batches
+from tidemark.functions.scratch import cut, document_batches, release
 from tidemark.llm import words as W
 
-WORDS, BUCKETS = 224, 32
+WORDS, BUCKETS, GROWTH = 224, 32, 2  # the least numbers of words and classes, and words by the root of the tokens
 VOCABULARY = WORDS + BUCKETS
 SIDE, HIDDEN = 2, 24
-ROUNDS, MASK, BATCH, RATE = 2, 8, 1024, 0.2
+ROUNDS, BATCH, RATE = 2, 1024, 0.2
+PIECE, NEAR = 1 << 13, 256
 PLACES = [i for i in range(-SIDE, SIDE + 1) if i]
-SHAPES = {"inputs": (len(PLACES), VOCABULARY + 1, HIDDEN), "outputs": (HIDDEN, VOCABULARY), "bias": (VOCABULARY,)}
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,128 +58,273 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return W.batch({"word": (W.signed(key), pa.int64()), "c": (total, pa.int64())})
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """The sorted hashes of the most frequent words of all documents."""
-    counts = docs.select("text").mapInArrow(_count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "word").limit(WORDS).collect()
-    return np.sort(np.array([r.word for r in top], np.int64).view(W.U))
+@dataclass
+class Vocabulary:
+    """Words by hash with their tokens 0, 1, ...; after them come the classes, ``log_size`` being a class's words."""
+
+    words: np.ndarray
+    token: np.ndarray
+    counts: np.ndarray  # of each token in the corpus
+    log_size: np.ndarray
 
+    @property
+    def size(self) -> int:
+        return len(self.counts)
 
-def _tokens(block: W.Block, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """The most frequent words of all documents, and classes of the others."""
+    counts = docs.select("text").mapInArrow(_count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = cut(counts, "words")
+    levels = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("c", ascending=False)  # one row a count
+    c, n = levels["c"].to_numpy(np.int64), levels["n"].to_numpy(np.int64)
+    wanted = max(WORDS, math.ceil(GROWTH * math.sqrt((c * n).sum())))
+    whole = int(np.searchsorted(np.cumsum(n), wanted, "right"))  # counts of which all words are taken
+    least = int(c[whole - 1]) if whole else 2**62
+    is_known = F.col("c") >= least
+    if whole < len(c):  # of the next count, words drawn by hash
+        part = (wanted - int(n[:whole].sum())) / int(n[whole])
+        is_known |= (F.col("c") == int(c[whole])) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(part * (1 << 20)))
+    top = counts.where(is_known).toArrow()
+    word, count = top["word"].to_numpy().view(W.U), top["c"].to_numpy()
+    order = np.argsort(word)
+    classes = 1 << max(BUCKETS.bit_length() - 1, math.ceil(math.log2(max(1, len(word) / 4))))
+    rest = counts.where(~is_known).groupBy(F.pmod("word", F.lit(classes)).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toArrow()
+    held, words = np.zeros(classes, np.int64), np.ones(classes)
+    held[rest["k"].to_numpy()] = rest["c"].to_numpy()
+    words[rest["k"].to_numpy()] = rest["n"].to_numpy()
+    release(counts)
+    return Vocabulary(word[order], np.arange(len(word), dtype=np.int32), np.concatenate([count[order], held]), np.log(words))
+
+
+def _tokens(block: W.Block, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(token, tokens around it by place) of each word of a block; beyond a document's ends stands a token of its own."""
     h = block.hashes()
-    token = (WORDS + (h % W.U(BUCKETS))).astype(np.int32)
-    if len(known):
-        at = np.searchsorted(known, h)
-        at[at == len(known)] = 0
-        same = known[at] == h
-        token[same] = at[same]
+    token = (len(known.words) + (h % W.U(len(known.log_size)))).astype(np.int32)
+    if len(known.words):
+        at = np.searchsorted(known.words, h)
+        at[at == len(known.words)] = 0
+        same = known.words[at] == h
+        token[same] = known.token[at[same]]
     row = np.pad(block.row_of_word(), SIDE, constant_values=-1)
-    padded = np.pad(token, SIDE, constant_values=VOCABULARY)
+    padded = np.pad(token, SIDE, constant_values=known.size)
     n = len(token)
     here = row[SIDE : SIDE + n]
-    around = [np.where(row[SIDE + i : SIDE + i + n] == here, padded[SIDE + i : SIDE + i + n], VOCABULARY) for i in PLACES]
+    around = [np.where(row[SIDE + i : SIDE + i + n] == here, padded[SIDE + i : SIDE + i + n], known.size) for i in PLACES]
     return token, np.stack(around) if n else np.zeros((len(PLACES), 0), np.int32)
 
 
+class Tree:
+    """A Huffman tree over tokens: each token's inner nodes from the leaf up, and the side (1 or -1) taken at each."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        n = len(counts)
+        order = np.argsort(counts, kind="stable")
+        weight = np.concatenate([counts[order].astype(float) + 1, np.zeros(n - 1)])
+        parent, side = np.zeros(2 * n - 1, np.int64), np.ones(2 * n - 1, np.float32)
+        leaf, inner = 0, n
+        for new in range(n, 2 * n - 1):  # leaves and inner nodes both come in order of weight
+            for s in (1, -1):
+                if leaf < n and (inner >= new or weight[leaf] <= weight[inner]):
+                    at, leaf = leaf, leaf + 1
+                else:
+                    at, inner = inner, inner + 1
+                parent[at], side[at] = new, s
+                weight[new] += weight[at]
+        at, root = np.arange(n), 2 * n - 2
+        nodes, sides, whose = [], [], []
+        who = np.arange(n)
+        while len(at := at[at != root]):
+            nodes.append((parent[at] - n).astype(np.int32))
+            sides.append(side[at])
+            whose.append(who)
+            at = parent[at]
+            who = who[at != root]
+        whose = order[np.concatenate(whose)]
+        by_token = np.argsort(whose, kind="stable")
+        self.node, self.side = np.concatenate(nodes)[by_token], np.concatenate(sides)[by_token]
+        self.first = np.searchsorted(whose[by_token], np.arange(n + 1))
+
+    def paths(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start of each token's steps, row of token, node and side by step)."""
+        length = self.first[token + 1] - self.first[token]
+        start = np.cumsum(length) - length
+        row = np.repeat(np.arange(len(token)), length)
+        step = np.arange(len(row)) + (self.first[token] - start)[row]
+        return start, row, self.node[step], self.side[step]
+
+
+def shapes(size: int) -> dict[str, tuple[int, ...]]:
+    return {"inputs": (len(PLACES), size + 1, HIDDEN), "outputs": (size, HIDDEN), "bias": (size,)}
+
+
+def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of the rows of each key."""
+    both = np.sort((key.astype(np.int64) << 32) | np.arange(len(key)))
+    key, order = both >> 32, both & 0xFFFFFFFF
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[at], np.add.reduceat(values.take(order, axis=0), at, axis=0) if len(at) else values
+
+
 class Network:
-    def __init__(self, weights: dict[str, np.ndarray] | None = None) -> None:
+    """Weights by name; ``outputs`` has a column, and ``bias`` a value, for each inner node of the tree."""
+
+    def __init__(self, weights: dict[str, np.ndarray] | None = None, tree: Tree | None = None) -> None:
         if weights is None:
             draw = np.random.default_rng(0)
-            weights = {k: (draw.standard_normal(s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
-        self.weights = {k: v.copy() for k, v in weights.items()}
+            weights = {k: (draw.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(len(tree.first) - 1 if tree else VOCABULARY).items()}
+            weights["outputs"] = weights["outputs"].T
+        self.weights = {k: v.copy(order="K") for k, v in weights.items()}
+        self.tree = tree or Tree(np.ones(len(self.weights["bias"])))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.weights[k].ravel() for k in SHAPES])
+        w = self.weights
+        return np.concatenate([w["inputs"].ravel(), w["outputs"].T.ravel(), w["bias"]])
 
     @staticmethod
-    def unflat(values: np.ndarray) -> Network:
-        ends = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])
-        return Network({k: p.reshape(s).astype(np.float32) for (k, s), p in zip(SHAPES.items(), np.split(values, ends[:-1]), strict=True)})
+    def unflat(values: np.ndarray, tree: Tree) -> Network:
+        form = shapes(len(tree.first) - 1)
+        ends = np.cumsum([int(np.prod(s)) for s in form.values()])
+        weights = {k: p.reshape(s).astype(np.float32) for (k, s), p in zip(form.items(), np.split(values, ends[:-1]), strict=True)}
+        return Network(weights | {"outputs": weights["outputs"].T}, tree)
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.weights["inputs"][0][around[0]]
+        total = self.weights["inputs"][0].take(around[0], axis=0)
         for i in range(1, len(PLACES)):
-            total += self.weights["inputs"][i][around[i]]
+            total += self.weights["inputs"][i].take(around[i], axis=0)
         return np.tanh(total)
 
+    def _steps(self, token: np.ndarray, h: np.ndarray) -> tuple:
+        """Each token's steps: the signed logit, and what gradients need.
+
+        The last ``NEAR`` nodes of a tree are its heaviest, on most of all steps; they are computed for every token.
+        """
+        out, lo = self.weights["outputs"].T, max(0, len(self.weights["bias"]) - NEAR)
+        start, row, node, side = self.tree.paths(token)
+        near = node >= lo
+        far = np.flatnonzero(~near)
+        near = np.flatnonzero(near)
+        cell = row[near] * (len(out) - lo) + (node[near] - lo)
+        z = np.empty(len(node), np.float32)
+        z[near] = (h @ out[lo:].T + self.weights["bias"][lo:]).ravel().take(cell)
+        there = out.take(node[far], axis=0)
+        z[far] = np.einsum("ij,ij->i", h.take(row[far], axis=0), there) + self.weights["bias"][node[far]]
+        return start, row, node, side, side * z, near, far, cell, there, lo
+
     def log_probability(self, token: np.ndarray, around: np.ndarray) -> np.ndarray:
         out = np.empty(len(token))
         for lo in range(0, len(token), 2048):
-            logits = self.hidden(around[:, lo : lo + 2048]) @ self.weights["outputs"]
-            logits += self.weights["bias"]
-            own = logits[np.arange(len(logits)), token[lo : lo + 2048]]
-            top = logits.max(axis=1)
-            logits -= top[:, None]
-            np.exp(logits, out=logits)
-            out[lo : lo + 2048] = own - top - np.log(logits.sum(axis=1))
+            part = slice(lo, lo + 2048)
+            start, _, _, _, z, *_ = self._steps(token[part], self.hidden(around[:, part]))
+            out[part] = -np.add.reduceat(np.maximum(-z, 0) + np.log1p(np.exp(-np.abs(z))), start)
         return out
 
+    def _sparse(self, token: np.ndarray, around: np.ndarray) -> list[tuple[str, object, np.ndarray]]:
+        """(name, index, gradient there) of the summed negative log-probability, where it is not 0."""
+        h = self.hidden(around)
+        _, row, node, side, z, near, far, cell, there, lo = self._steps(token, h)
+        pull = -side / (1 + np.exp(np.minimum(z, 80)))
+        out = self.weights["outputs"].T
+        dense = np.zeros((len(token), len(out) - lo), np.float32)
+        dense.ravel()[cell] = pull[near]
+        back = dense @ out[lo:]
+        found = [("outputs", (slice(None), slice(lo, None)), h.T @ dense), ("bias", slice(lo, None), dense.sum(axis=0))]
+        if len(far):
+            row, pull = row[far], pull[far]
+            at, g = _summed(row, pull[:, None] * there)
+            back[at] += g
+            at, g = _summed(node[far], np.column_stack([pull[:, None] * h.take(row, axis=0), pull]))
+            found += [("outputs", (slice(None), at), g[:, :-1].T), ("bias", at, g[:, -1])]
+        back *= 1 - h * h
+        for i in range(len(PLACES)):
+            at, g = _summed(around[i], back)
+            found.append(("inputs", (i, at), g))
+        return found
+
     def gradients(self, token: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-probability."""
-        n, h = len(token), self.hidden(around)
-        p = h @ self.weights["outputs"] + self.weights["bias"]
-        p -= p.max(axis=1)[:, None]
-        np.exp(p, out=p)
-        p /= p.sum(axis=1)[:, None]
-        p[np.arange(n), token] -= 1
-        p /= n
-        back = (p @ self.weights["outputs"].T) * (1 - h * h)
-        inputs = np.zeros(SHAPES["inputs"], np.float32)
-        for i in range(len(PLACES)):
-            hot = np.zeros((n, VOCABULARY + 1), np.float32)
-            hot[np.arange(n), around[i]] = 1
-            inputs[i] = hot.T @ back
-        return {"inputs": inputs, "outputs": h.T @ p, "bias": p.sum(axis=0)}
+        whole = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        for k, at, g in self._sparse(token, around):
+            whole[k][at] = g / len(token)
+        return whole
+
+    def learn(self, token: np.ndarray, around: np.ndarray, squares: dict[str, np.ndarray]) -> None:
+        """One step of AdaGrad."""
+        for k, at, g in self._sparse(token, around):
+            if k == "outputs":  # rows lie together in memory
+                mine, sums, at, g = self.weights[k].T, squares[k].T, at[1], g.T
+            elif k == "inputs":
+                mine, sums, at = self.weights[k][at[0]], squares[k][at[0]], at[1]
+            else:
+                mine, sums = self.weights[k], squares[k]
+            now = sums[at] + g * g
+            sums[at] = now
+            mine[at] -= RATE * g / np.sqrt(now)
 
 
 def _train(sent, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights = sent.value
-        net, table, seen = Network(weights), W.alnum_table(), 0
-        squares = {k: np.full(s, 1e-4, np.float32) for k, s in SHAPES.items()}
+        known, tree, weights = sent.value
+        net, table, seen = Network(weights, tree), W.alnum_table(), 0
+        squares = {k: np.ones_like(v) for k, v in net.weights.items()}
         for b in batches:
             for block in W.blocks(b.column("text"), table, lower=True):
                 token, around = _tokens(block, known)
-                masked = np.flatnonzero(W.mix(np.arange(len(token), dtype=W.U) + W.U(turn << 40)) % W.U(MASK) == 0)
+                masked = np.flatnonzero(W.mix(np.arange(len(token), dtype=W.U)) % W.U(ROUNDS) == turn)
                 seen += len(masked)
                 for lo in range(0, len(masked), BATCH):
                     at = masked[lo : lo + BATCH]
-                    for k, g in net.gradients(token[at], around[:, at]).items():
-                        squares[k] += g * g
-                        net.weights[k] -= RATE * g / np.sqrt(squares[k])
+                    net.learn(token[at], around[:, at], squares)
         if seen:
-            flat = net.flat().astype(float) * seen
-            yield W.batch({"k": (np.arange(len(flat) + 1), pa.int32()), "v": (np.append(flat, seen), pa.float64())})
+            flat = net.flat()
+            for lo in range(0, len(flat), 64 * PIECE):
+                pieces = [flat[k : k + PIECE].tobytes() for k in range(lo, min(len(flat), lo + 64 * PIECE), PIECE)]
+                yield W.batch({"k": (lo // PIECE + np.arange(len(pieces)), pa.int32()), "seen": (np.full(len(pieces), seen), pa.float64()), "v": (pieces, pa.binary())})
 
     return run
 
 
-def train(docs: DataFrame) -> tuple[np.ndarray, Network]:
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of each piece of the weights, weighted by tokens."""
+    total: dict[int, np.ndarray] = {}
+    weight: dict[int, float] = {}
+    for b in batches:
+        for k, seen, v in zip(*(b.column(c).to_pylist() for c in ("k", "seen", "v")), strict=True):
+            total[k] = total.get(k, 0) + np.frombuffer(v, np.float32).astype(float) * seen
+            weight[k] = weight.get(k, 0) + seen
+    for k in total:
+        yield W.batch({"k": ([k], pa.int32()), "v": ([(total[k] / weight[k]).astype(np.float32).tobytes()], pa.binary())})
+
+
+def train(docs: DataFrame) -> tuple[Vocabulary, Network]:
     """The vocabulary and the network, learned from all documents."""
     document_batches(docs.sparkSession)
-    spark, known, net = docs.sparkSession, vocabulary(docs), Network()
+    spark, known = docs.sparkSession, vocabulary(docs)
+    net = Network(tree=Tree(known.counts))
     for turn in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((known, net.weights))  # one model
-        sums = docs.select("text").mapInArrow(_train(sent, turn), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-        if not len(sums):
+        sent = spark.sparkContext.broadcast((known, net.tree, net.weights))  # one model
+        parts = docs.select("text").mapInArrow(_train(sent, turn), "k int, seen double, v binary")
+        found = parts.repartition("k").mapInArrow(_mean, "k int, v binary").toArrow()
+        sent.unpersist()
+        if not len(found):
             break
-        values = sums.sort_values("k")["v"].to_numpy()
-        net = Network.unflat(values[:-1] / values[-1])
+        pieces = dict(zip(found["k"].to_pylist(), found["v"].to_pylist(), strict=True))
+        net = Network.unflat(np.frombuffer(b"".join(pieces[k] for k in sorted(pieces)), np.float32), net.tree)
     return known, net
 
 
-def score(docs: DataFrame, known: np.ndarray, net: Network) -> DataFrame:
+def score(docs: DataFrame, known: Vocabulary, net: Network) -> DataFrame:
     """Return (doc_id, n_tokens, log_likelihood, mean_log_likelihood) of each document."""
-    sent = docs.sparkSession.sparkContext.broadcast((known, net.weights))
+    sent = docs.sparkSession.sparkContext.broadcast((known, net.tree, net.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights = sent.value
-        net, table = Network(weights), W.alnum_table()
+        known, tree, weights = sent.value
+        net, table = Network(weights, tree), W.alnum_table()
         for b in batches:
             for block in W.blocks(b.column("text"), table, lower=True):
                 token, around = _tokens(block, known)
-                total = np.bincount(block.row_of_word(), net.log_probability(token, around), block.rows)
+                share = np.append(np.zeros(len(known.words)), known.log_size)[token]  # a word's part in its class
+                total = np.bincount(block.row_of_word(), net.log_probability(token, around) - share, block.rows)
                 yield pa.RecordBatch.from_arrays([b.slice(block.lo, block.rows).column("doc_id"), pa.array(block.counts(), pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
