@@ -37,8 +37,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near duplicates, the one with the least id."""
-    first = cut(near_dedup.near_duplicates(docs).where("is_first").select(F.col("row").alias("__row")), "first")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(first.hint("shuffle_hash"), "__row", "left_semi").select(docs.columns)
+    # Rows are numbered once, in a written table: ids drawn again by another scan may differ.
+    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    first = cut(near_dedup.near_duplicates(numbered, row="__row").where("is_first").select(F.col("row").alias("__row")), "first")
+    return numbered.join(first.hint("shuffle_hash"), "__row", "left_semi").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,33 @@ def test_stages_keep_columns_and_take_effect(spark, stored, tmp_path):
     assert out.count() == counts[-1]
 
 
+def test_near_duplicates_when_files_are_packed_anew(spark, stored, monkeypatch):
+    """Another packing of files into splits, between the scan that numbers rows and the join, changes no row."""
+    many = stored.repartition(9, "doc_id")
+    folder = f"{corpus_pipeline.cut(many, 'many')._scratch_path}"
+    docs = spark.read.parquet(folder)
+    want = sorted(map(repr, corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    first, found = near_dedup.near_duplicates, []
+
+    def packed(*args, **kwargs):
+        out = corpus_pipeline.cut(first(*args, **kwargs), "packed")
+        found.append(out.count())
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return out
+
+    spark.conf.set("spark.sql.files.minPartitionNum", "9")
+    monkeypatch.setattr(near_dedup, "near_duplicates", packed)
+    try:
+        got = sorted(map(repr, corpus_pipeline.near_duplicates(spark, spark.read.parquet(folder), "").collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found and len(got) == len(want)
+    texts = lambda rows: sorted(r.split("text=")[1] for r in rows)
+    assert texts(got) == texts(want)
+
+
 def test_pipeline_of_an_empty_table(spark, none, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -202,14 +202,15 @@ def _prefix_pairs(open_buckets: DataFrame, texts: DataFrame, threshold: float) -
     return both.where(may).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
     """Return (row, doc_id, class_id, is_first) of each document.
 
-    ``class_id`` is the least doc_id of its class, ``is_first`` marks one row of each class, and ``row`` numbers the
-    rows of ``docs`` as ``monotonically_increasing_id`` does.
+    ``class_id`` is the least doc_id of its class, ``is_first`` marks one row of each class, and ``row`` is the
+    column of that name, or numbers the rows of ``docs`` as ``monotonically_increasing_id`` does. Such numbers hold for
+    one scan only; a caller who joins on them has to write them first and name their column.
     """
     document_batches(docs.sparkSession)
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("node"), "text")
+    docs = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("node"), "text")
     sketched = cut(docs.mapInArrow(_sketch, "row long, doc_id long, node long, bands array<long>"), "sketches")
     banded = sketched.where("node IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
