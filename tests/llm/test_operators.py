@@ -336,6 +336,22 @@ def test_main_text(page):
     assert html_extraction.main_text(page) == PAGES[page]
 
 
+WHOLE = {
+    "<html><head><title>T</title><meta charset=utf-8><body><p>One, two, three.</p></body></html>": "One, two, three.",
+    "<head><title>T</title><link rel=x><p>No body tag, either.</p>": "No body tag, either.",
+    "<head><title>T</title>Bare text.": "Bare text.",
+    "<head><style>p {}</style></head><body><p>Closed head.</p>": "Closed head.",
+    "<body><form id=aspnetForm role=form><div><p>All the text, in a form.</p><p>And more, of it.</p></div></form></body>": "All the text, in a form.\nAnd more, of it.",
+    "<form role=search><p>Seek, find</p></form>": "",
+    "<div class=comment><p>All, there, is, in, a, comment.</p></div><form><p>Name</p></form>": "All, there, is, in, a, comment.",
+}
+
+
+@pytest.mark.parametrize("page", WHOLE)
+def test_pages_with_open_heads_and_forms(page):
+    assert html_extraction.main_text(page) == WHOLE[page]
+
+
 def test_pages(spark):
     rows = [(1, "u", "<p>a, b</p>", 1), (None, None, None, 2), (1, "u", "<p>a, b</p>", 3), (4, "v", "<div>" * 20_000 + "deep" + "</i>" * 20_000, 4), (5, "w", "<p>" + "long, " * 50_000, 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")

@@ -9,7 +9,7 @@ element with most points is the container; if it lies in an ``article``, that is
 container are kept with it if they have a fifth of its points, or are long paragraphs of few links.
 
 Character references are decoded, white space in a block becomes one space, and blocks are joined in page order by a
-line feed. If the rules on classes leave nothing, they are dropped for that page.
+line feed. If the rules on classes leave nothing, they are dropped for that page, and a form with most of its points is kept.
 
 A null or empty page gives an empty text. Long pages and deep trees are read without recursion, in time linear in
 their length. Repeated rows give a row each. Further columns are ignored.
@@ -34,6 +34,7 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 DROPPED = RAW | {"head", "nav", "aside", "form", "button", "select", "option", "menu", "dialog", "svg", "object", "canvas", "audio", "video", "map", "fieldset", "label"}
 EDGE = {"header", "footer"}
+HEAD = RAW - {"textarea", "iframe", "xmp"} | {"base", "link", "meta"}  # others end an open head
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "p": {"td", "th", "li", "div", "article", "section", "blockquote", "body", "main"}}
@@ -57,7 +58,8 @@ class Node:
 
 
 def _is_junk(tag: str, attributes: str, inside: bool, by_class: bool) -> bool:
-    if tag in DROPPED or tag in EDGE and not inside or tag == "footer":
+    form = tag == "form" and not by_class  # judged by _without_forms
+    if tag in DROPPED and not form or tag in EDGE and not inside or tag == "footer":
         return True
     if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes:
         return False
@@ -68,7 +70,7 @@ def _is_junk(tag: str, attributes: str, inside: bool, by_class: bool) -> bool:
             if by_class and (set(re.split(r"[^a-z]+", value)) & JUNK or "header" in value and not inside):
                 return True
         elif name == "role":
-            if value in ROLES:
+            if value in ROLES and not (form and value == "form"):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or re.search(r"display\s*:\s*none", value):
             return True
@@ -86,6 +88,8 @@ def parse(page: str, by_class: bool = True) -> tuple[Node, list[Node]]:
                 continue
             raw_until, place = None, m.start()
         if m.start() > place:
+            if at.tag == "head" and page[place : m.start()].strip():
+                at = _close(at, "head", opened)
             at.children.append(page[place : m.start()])
         place = m.end()
         tag = (m[2] or m[5] or "").lower()
@@ -99,6 +103,8 @@ def parse(page: str, by_class: bool = True) -> tuple[Node, list[Node]]:
                 opened[tag] -= 1
                 at = at.parent
             continue
+        if opened["head"] and tag not in HEAD:
+            at = _close(at, "head", opened, frozenset())
         if tag in VOID:
             at.children.append(" " if tag in INLINE else "\n")
             if tag not in INLINE:
@@ -122,6 +128,8 @@ def parse(page: str, by_class: bool = True) -> tuple[Node, list[Node]]:
         at = node
         opened[tag] += 1
     if raw_until is None and place < len(page):
+        if at.tag == "head" and page[place:].strip():
+            at = _close(at, "head", opened)
         at.children.append(page[place:])
     return root, nodes
 
@@ -143,6 +151,30 @@ def _own_text(node: Node) -> str:
     return "".join(c for c in node.children if isinstance(c, str))
 
 
+def _without_forms(nodes: list[Node]) -> None:
+    """Make forms junk, but for one that holds more than half of the page's paragraph points."""
+    if not any(n.tag == "form" for n in nodes):
+        return
+    block_of: dict[int, Node] = {}
+    form_of: dict[int, Node | None] = {}
+    text_of: dict[int, list[str]] = {}
+    for n in nodes:
+        up = form_of.get(id(n.parent))
+        form_of[id(n)] = up or (n if n.tag == "form" else None)
+        block = block_of[id(n)] = n if n.tag not in INLINE or n.parent is None else block_of[id(n.parent)]
+        if not n.junk and (own := _own_text(n)).strip():
+            text_of.setdefault(id(block), []).append(own)
+    points: Counter = Counter()
+    for n in nodes:
+        if id(n) in text_of:
+            text = " ".join(text_of[id(n)])
+            points[id(form_of[id(n)])] += 1 + text.count(",") + len(text) / 100
+    for n in nodes:
+        form = form_of[id(n)]
+        if form is not None and 2 * points[id(form)] <= points.total():
+            n.junk = True
+
+
 def _score(nodes: list[Node]) -> None:
     """Points and text lengths of all elements."""
     block_of: dict[int, Node] = {}
@@ -229,6 +261,8 @@ def main_text(page: str | None) -> str:
         return ""
     for by_class in (True, False):
         root, nodes = parse(page, by_class)
+        if not by_class:
+            _without_forms(nodes)
         lines = [line for top in _kept(root, nodes) for line in _lines(top)]
         if lines:
             return "\n".join(lines)
