@@ -211,3 +211,15 @@ def test_scan_reads_only_what_is_asked(spark, tmp_path):
     sinks.parquet(events(spark, 3), f"{tmp_path}/p")
     plan = S.parquet(spark, f"{tmp_path}/p", ["entity_id", "value"]).where("value > 1")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<entity_id:string,value:double>" in plan and "GreaterThan(value,1.0)" in plan
+
+
+def test_default_probe_finds_nine_tenths(spark):
+    draw = np.random.default_rng(0)
+    vecs = draw.standard_normal((2000, 16))
+    vecs /= np.linalg.norm(vecs, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, "a", [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id long, entity_id string, embedding array<float>")
+    queries, centres = rows.where("vec_id % 50 = 0"), [v for v in vecs[:100]]
+    indexed = V.assign_cells(rows, centres).withColumn("cell", F.element_at("cells", 1)).drop("cells")
+    exact = {tuple(r) for r in V.nearest(queries, rows).select("query_id", "vec_id").collect()}
+    share = lambda found: len(exact & {tuple(r) for r in found.select("query_id", "vec_id").collect()}) / len(exact)
+    assert share(V.nearest_in_cells(queries, indexed, centres, probe=20)) < 0.9 <= share(V.nearest_in_cells(queries, indexed, centres))

@@ -183,8 +183,24 @@ def load_index(spark, path: str) -> tuple[DataFrame, list[np.ndarray]]:
     return spark.read.parquet(f"{path}/vectors"), [np.array(r["centre"]) for r in centres]
 
 
-def nearest_in_cells(queries: DataFrame, indexed: DataFrame, centres: list[np.ndarray], k: int = C.TOP_K, probe: int = C.N_PROBE) -> DataFrame:
-    """As :func:`nearest`, but among the vectors of each query's ``probe`` nearest cells: an equi-join on the cell."""
+def probe_for(queries: DataFrame, indexed: DataFrame, centres: list[np.ndarray], k: int = C.TOP_K, recall: float = 0.95, sample: int = 256) -> int:
+    """The least number of cells, ``C.N_PROBE`` or more, that hold ``recall`` of the exact neighbours of a sample of the queries."""
+    asked = queries.orderBy(F.xxhash64("vec_id", F.lit(42)), "vec_id").limit(sample).select("vec_id", "embedding", F.lit("").alias("entity_id"))
+    exact = nearest(asked, indexed.withColumn("entity_id", F.lit("")), k).select("query_id", "vec_id")
+    order = assign_cells(asked.select("vec_id", "embedding"), centres, len(centres)).select(F.col("vec_id").alias("query_id"), "cells")
+    home = exact.join(indexed.select("vec_id", "cell"), "vec_id").join(order, "query_id")
+    places = home.groupBy(F.array_position("cells", F.col("cell")).alias("place")).count().orderBy("place").toPandas()
+    held = places["count"].cumsum()
+    enough = places["place"][held >= recall * held.max()]
+    return max(C.N_PROBE, int(enough.iloc[0])) if len(enough) else C.N_PROBE
+
+
+def nearest_in_cells(queries: DataFrame, indexed: DataFrame, centres: list[np.ndarray], k: int = C.TOP_K, probe: int | None = None) -> DataFrame:
+    """As :func:`nearest`, but among the vectors of each query's ``probe`` nearest cells: an equi-join on the cell.
+
+    Without ``probe`` it is measured, see :func:`probe_for`.
+    """
+    probe = probe_for(queries, indexed, centres, k) if probe is None else probe
     asked = assign_cells(queries.select("vec_id", "embedding"), centres, min(probe, len(centres)))
     asked = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
     near = indexed.join(asked, "cell").select("query_id", "vec_id", X.squared_distance(F.col("q"), F.col("embedding")).alias("distance"))
