@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scratch import document_batches
 from tidemark.llm import words as W
 
 PROFILE, RATIO, SAMPLE = 8192, 3.0, 4000
@@ -56,23 +55,11 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return row[at], W.mix(h)
 
 
-def _slices(texts: list[str | None], size: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    lo = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= size:
-            yield lo, i + 1
-            lo, total = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts, langs = b.column("text").to_pylist(), np.array(b.column("lang").to_pylist())
-        for lo, hi in _slices(texts, 1 << 22):
-            row, h = trigrams(texts[lo:hi])
-            names, which = np.unique(langs[lo:hi], return_inverse=True)
+    for whole in batches:
+        for part in W.slices(whole, ["text"], 1 << 21):
+            row, h = trigrams(part.column("text").to_pylist())
+            names, which = np.unique(np.array(part.column("lang").to_pylist()), return_inverse=True)
             for k, name in enumerate(names):
                 gram, c = np.unique(h[which[row] == k], return_counts=True)
                 yield W.batch({"lang": ([str(name)] * len(gram), pa.string()), "gram": (W.signed(gram), pa.int64()), "c": (c, pa.int64())})
@@ -116,7 +103,6 @@ class Filters:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, profile: int = PROFILE, ratio: float = RATIO) -> Filters:
     """Fit filters on rows (doc_id, text, lang)."""
-    document_batches(labelled.sparkSession)
     labelled = labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one row a language
     if not sizes:
@@ -137,16 +123,14 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, profile: int = PROFILE, rat
 
 def identify(docs: DataFrame, filters: Filters, keep: list[str] | None = None) -> DataFrame:
     """Return the columns ``keep`` of ``docs`` (all, if not given) with lang_pred and score, which replace their like."""
-    document_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # a fixed number of slots
+    sent = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks, filters.chance))  # a fixed number of slots, as plain arrays
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("__text").to_pylist()
-            for lo, hi in _slices(texts):
-                lang, score = sent.value.predict(texts[lo:hi])
-                part = b.slice(lo, hi - lo)
+        filters = Filters(*sent.value)
+        for whole in batches:
+            for part in W.slices(whole, ["__text"], 1 << 19):
+                lang, score = filters.predict(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

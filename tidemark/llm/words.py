@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -120,6 +121,26 @@ def blocks(column: pa.Array, table: np.ndarray, lower: bool = False, size: int =
         lo = hi
 
 
+def slices(batch: pa.RecordBatch, columns: list[str], size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that the texts of ``columns`` in a part have about ``size`` bytes; a longer row is a part of its own."""
+    upto = np.zeros(batch.num_rows + 1, np.int64)
+    for c in columns:
+        lengths = pa.compute.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False)
+        upto[1:] += np.cumsum(lengths, dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + size, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i and each k below counts[i]: (i, k), in order."""
+    counts = np.asarray(counts, np.int64)
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def rolling(h: np.ndarray, m: int) -> np.ndarray:
     """A hash of every m consecutive values, by doubling; shorter than h by m - 1."""
     if len(h) < m:
