@@ -27,14 +27,16 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scratch import cut, document_batches, release
+from tidemark.functions.scratch import cut, release
 from tidemark.llm import words as W
 
 SEED = 8
 DOCS_PER_SHARD = 512
+PIECE = 1 << 16  # window rows in a batch
 
 
 def _passages(window: int, seed: int):
@@ -67,25 +69,31 @@ def _passages(window: int, seed: int):
     return run
 
 
+def _cells(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(number of structs in each list, their fields as arrays)."""
+    lengths = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    return lengths, {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+
+
 def _windows(window: int):
     """Windows of the asked passages of each document: (anchor, window hash, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = W.space_table()
         for b in batches:
-            doc, rid, asked = b.column("doc_id").to_numpy(), b.column("rid").to_numpy(), b.column("asked")
+            doc, rid = b.column("doc_id").to_numpy(), b.column("rid").to_numpy()
             for block in W.blocks(b.column("text"), table):
                 whole = W.rolling(block.hashes(), window)
-                for r in range(block.rows):
-                    i = block.lo + r
-                    cells = asked[i].as_py()
-                    n = np.array([c["n"] for c in cells])
-                    s = np.repeat(np.array([c["s"] for c in cells]), n)
-                    at = s + np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+                lengths, cell = _cells(b.column("asked").slice(block.lo, block.rows))
+                which, step = W.spread(cell["n"])
+                row = np.repeat(np.arange(block.rows), lengths)[which]
+                for lo in range(0, len(which), PIECE):
+                    w, r = which[lo : lo + PIECE], row[lo : lo + PIECE]
+                    at = cell["s"][w] + step[lo : lo + PIECE]
                     yield W.batch({
-                        "anchor": (np.repeat(np.array([c["anchor"] for c in cells], np.int64), n), pa.int64()),
-                        "wh": (W.signed(whole[block.first[r] + at]), pa.int64()), "doc_id": (np.full(len(at), doc[i]), pa.int64()),
-                        "rid": (np.full(len(at), rid[i]), pa.int64()), "s": (at.astype(np.int32), pa.int32()),
+                        "anchor": (cell["anchor"][w], pa.int64()), "wh": (W.signed(whole[block.first[r] + at]), pa.int64()), "doc_id": (doc[block.lo + r], pa.int64()),
+                        "rid": (rid[block.lo + r], pa.int64()), "s": (at.astype(np.int32), pa.int32()),
                     })
 
     return run
@@ -95,65 +103,87 @@ def _chains(window: int):
     """Join a document's neighbouring matches with one earlier document into (owner, first word, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for shard, cells in zip(b.column("shard").to_pylist(), b.column("found").to_pylist(), strict=True):
-                last = None
-                for c in sorted(cells, key=lambda c: (c["o_doc"], c["o_rid"], c["o_s"] - c["s"], c["s"])):
-                    key = (c["o_doc"], c["o_rid"], c["o_s"] - c["s"])
-                    if last and last[0] == key and c["o_s"] <= last[2]:
-                        last[2] = max(last[2], c["o_s"] + c["n"])
-                        continue
-                    if last:
-                        out.append((shard, *last[0][:2], last[1], last[2] - last[1] + window - 1))
-                    last = [key, c["o_s"], c["o_s"] + c["n"]]
-                if last:
-                    out.append((shard, *last[0][:2], last[1], last[2] - last[1] + window - 1))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield W.batch({
-                "shard": (cols[0], pa.int64()), "o_doc": (cols[1], pa.int64()), "o_rid": (cols[2], pa.int64()),
-                "o_s": (cols[3], pa.int32()), "words": (cols[4], pa.int32()),
-            })
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):
+                b = whole.slice(lo, 64)
+                lengths, c = _cells(b.column("found"))
+                shard, row = b.column("shard").to_numpy(), np.repeat(np.arange(b.num_rows), lengths)
+                shift = c["o_s"].astype(np.int64) - c["s"]
+                order = np.lexsort((c["o_s"], shift, c["o_rid"], c["o_doc"], row))
+                keys = [k[order] for k in (row, c["o_doc"], c["o_rid"], shift)]
+                start = c["o_s"][order].astype(np.int64)
+                end = start + c["n"][order]
+                if not len(start):
+                    continue
+                # Ends so far within a key: keys are numbered, and each one's ends lie above those of the keys before.
+                new = np.ones(len(start), bool)
+                new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+                base = np.cumsum(new) << 32
+                reach = np.maximum.accumulate(base + end)
+                new[1:] |= base[1:] + start[1:] > reach[:-1]
+                first = np.flatnonzero(new)
+                last = np.maximum.reduceat(end, first)
+                yield W.batch({
+                    "shard": (shard[keys[0][first]], pa.int64()), "o_doc": (keys[1][first], pa.int64()), "o_rid": (keys[2][first], pa.int64()),
+                    "o_s": (start[first].astype(np.int32), pa.int32()), "words": ((last - start[first] + window - 1).astype(np.int32), pa.int32()),
+                })
 
     return run
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases asked of each document."""
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases asked of each document, as its text has them."""
+    table = W.space_table()
     for b in batches:
-        doc, rid = b.column("doc_id").to_pylist(), b.column("rid").to_pylist()
-        for i, (text, asked) in enumerate(zip(b.column("text"), b.column("asked").to_pylist(), strict=True)):
-            cells = text.as_buffer().to_pybytes().split()
-            yield W.batch({
-                "o_doc": ([doc[i]] * len(asked), pa.int64()), "o_rid": ([rid[i]] * len(asked), pa.int64()),
-                "o_s": ([a["o_s"] for a in asked], pa.int32()), "words": ([a["words"] for a in asked], pa.int32()),
-                "phrase": ([b" ".join(cells[a["o_s"] : a["o_s"] + a["words"]]) for a in asked], pa.string()),
-            })
+        doc, rid = b.column("doc_id").to_numpy(), b.column("rid").to_numpy()
+        for block in W.blocks(b.column("text"), table):
+            lengths, cell = _cells(b.column("asked").slice(block.lo, block.rows))
+            row = np.repeat(np.arange(block.rows), lengths)
+            first = block.first[row] + cell["o_s"]
+            start, end = block.start[first], block.end[first + cell["words"] - 1]
+            data = block.data.tobytes()
+            for part in _parts(end - start):
+                yield W.batch({
+                    "o_doc": (doc[block.lo + row[part]], pa.int64()), "o_rid": (rid[block.lo + row[part]], pa.int64()),
+                    "o_s": (cell["o_s"][part], pa.int32()), "words": (cell["words"][part], pa.int32()),
+                    "phrase": ([data[x:y] for x, y in zip(start[part].tolist(), end[part].tolist(), strict=True)], pa.string()),
+                })
+
+
+def _parts(sizes: np.ndarray, most: int = 1 << 22) -> Iterator[slice]:
+    """Cut rows into parts of about ``most`` bytes."""
+    upto, lo = np.append(0, np.cumsum(sizes)), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, "right")) - 1)
+        yield slice(lo, hi)
+        lo = hi
 
 
 class _Shard:
     """One shard's phrases as an automaton over numbered words."""
 
     def __init__(self) -> None:
-        self.phrases: dict[tuple[bytes, ...], int] = {}
+        self.phrases: dict[bytes, int] = {}  # a phrase is its words' numbers, four bytes each
         self.number: dict[bytes, int] = {}
         self.automaton = None
 
     def add(self, phrase: bytes, owner: int) -> None:
-        key = tuple(phrase.split())
+        number = self.number
+        key = np.array([number.setdefault(w, len(number) + 1) for w in phrase.split()], np.int32).tobytes()
         self.phrases[key] = min(owner, self.phrases.get(key, owner))
 
     def compile(self) -> None:
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, owner in self.phrases.items():
-            self.automaton.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in key), (len(key), owner))
-        if self.phrases:
+        while self.phrases:
+            key, owner = self.phrases.popitem()
+            self.automaton.add_word(tuple(np.frombuffer(key, np.int32).tolist()), (len(key) // 4, owner))
+        if len(self.automaton):
             self.automaton.make_automaton()
 
     def covered(self, doc: int | None, cells: list[bytes]) -> bytearray | None:
         if self.automaton is None:
             self.compile()
-        if doc is None or not self.phrases or not cells:
+        if doc is None or not len(self.automaton) or not cells:
             return None
         number, hit = self.number, None
         for end, (n, owner) in self.automaton.iter(tuple([number.get(w, 0) for w in cells])):
@@ -166,13 +196,13 @@ class _Shard:
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stream each shard's documents, which follow its phrases, through its automaton."""
     at, shard = None, _Shard()
-    for b in batches:
+    for b in (part for whole in batches for part in W.slices(whole, ["text"])):
         out = []
-        for k, phrases_first, doc, text in zip(b.column("shard").to_pylist(), b.column("is_doc").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+        for k, is_doc, doc, text in zip(b.column("shard").to_pylist(), b.column("is_doc").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
             if k != at:
                 at, shard = k, _Shard()
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            if not phrases_first:
+            if not is_doc:
                 shard.add(raw, doc)
                 continue
             cells = raw.split()
@@ -200,7 +230,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = SEED, docs_per
     """
     if not 0 < seed <= window:
         raise ValueError("seed must be from 1 to window")
-    document_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rid"))
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     shards = max(1, docs.count() // docs_per_shard)
@@ -215,17 +244,18 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = SEED, docs_per
     release(spread)
 
     # The smallest document of each passage; of passages that share an anchor, the smallest of each window.
-    own = again.groupBy("anchor", "same").agg(F.min(F.struct("doc_id", "rid", "s", "n")).alias("o"))
-    own = cut(own.select("anchor", "same", F.col("o.doc_id").alias("o_doc"), F.col("o.rid").alias("o_rid"), F.col("o.s").alias("o_s"), F.col("o.n").alias("o_n")), "owners")
+    own = again.groupBy("anchor", "same").agg(F.min(F.struct("doc_id", "rid", "s")).alias("o"))
+    own = cut(own.select("anchor", "same", F.col("o.doc_id").alias("o_doc"), F.col("o.rid").alias("o_rid"), F.col("o.s").alias("o_s")), "owners")
     whole = again.join(own.select("anchor", "same", "o_doc", "o_rid", "o_s"), ["anchor", "same"]).where("doc_id > o_doc")
     shared = cut(own.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "shared")
     texts = cut(known.join(again.select("doc_id", "rid").distinct(), ["doc_id", "rid"], "left_semi"), "texts")
-    asked = own.join(shared, "anchor", "left_semi").groupBy(F.col("o_doc").alias("doc_id"), F.col("o_rid").alias("rid"))
-    asked = asked.agg(F.collect_list(F.struct(F.col("o_s").alias("s"), F.col("o_n").alias("n"), "anchor")).alias("asked"))
+    # Every row of the owner's id has to know which of the passage's windows an earlier document has.
+    mine = again.join(own.join(shared, "anchor", "left_semi").select("anchor", "same", F.col("o_doc").alias("doc_id")), ["anchor", "same", "doc_id"])
+    asked = mine.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("s", "n", "anchor")).alias("asked"))
     one = texts.dropDuplicates(["doc_id", "rid"])
     single = cut(one.join(asked, ["doc_id", "rid"]).mapInArrow(_windows(window), "anchor long, wh long, doc_id long, rid long, s int"), "windows")
-    least = cut(single.groupBy("anchor", "wh").agg(F.min(F.struct("doc_id", "rid", "s")).alias("o"), F.max("doc_id").alias("hi")).where("o.doc_id < hi"), "least")
-    least = least.select("anchor", "wh", F.col("o.doc_id").alias("o_doc"), F.col("o.rid").alias("o_rid"), F.col("o.s").alias("o_s"))
+    found_least = cut(single.groupBy("anchor", "wh").agg(F.min(F.struct("doc_id", "rid", "s")).alias("o"), F.max("doc_id").alias("hi")).where("o.doc_id < hi"), "least")
+    least = found_least.select("anchor", "wh", F.col("o.doc_id").alias("o_doc"), F.col("o.rid").alias("o_rid"), F.col("o.s").alias("o_s"))
     parts = single.join(least, ["anchor", "wh"]).where("doc_id > o_doc").withColumn("n", F.lit(1))
 
     # Chains of matches, and which shard needs which phrase.
@@ -236,11 +266,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = SEED, docs_per
     phrase_key = ["o_doc", "o_rid", "o_s", "words"]
     per_owner = wanted.select(phrase_key).distinct().groupBy(F.col("o_doc").alias("doc_id"), F.col("o_rid").alias("rid"))
     per_owner = per_owner.agg(F.collect_list(F.struct("o_s", "words")).alias("asked"))
-    phrases = cut(one.join(per_owner, ["doc_id", "rid"]).mapInArrow(_slices, "o_doc long, o_rid long, o_s int, words int, phrase string"), "phrases")
+    phrases = cut(one.join(per_owner, ["doc_id", "rid"]).mapInArrow(_phrases, "o_doc long, o_rid long, o_s int, words int, phrase string"), "phrases")
     sent = wanted.join(phrases, phrase_key).select("shard", F.lit(False).alias("is_doc"), F.col("o_doc").alias("doc_id"), F.col("phrase").alias("text"))
 
     # Automata, and the documents streamed through them.
-    rows = docs.select(shard_of, F.lit(True).alias("is_doc"), "doc_id", "text").unionByName(cut(sent, "sent"))
+    sent = cut(sent, "sent")
+    release(again, own, shared, texts, single, found_least, wanted, phrases)
+    rows = docs.select(shard_of, F.lit(True).alias("is_doc"), "doc_id", "text").unionByName(sent)
     rows = rows.repartition("shard").sortWithinPartitions("shard", "is_doc")
     return rows.mapInArrow(_locate, "doc_id long, kept_text string, n_words long, n_removed long, removed array<struct<start:bigint,end:bigint>>")
 

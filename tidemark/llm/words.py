@@ -92,8 +92,8 @@ class Block:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes()
 
 
-def blocks(column: pa.Array, table: np.ndarray, lower: bool = False, size: int = 1 << 20) -> Iterator[Block]:
-    """Cut a column of texts into blocks of about ``size`` bytes; null is an empty text."""
+def blocks(column: pa.Array, table: np.ndarray, lower: bool = False, size: int = 1 << 20, rows: int = 1 << 20) -> Iterator[Block]:
+    """Cut a column of texts into blocks of about ``size`` bytes and ``rows`` rows at most; null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -105,7 +105,7 @@ def blocks(column: pa.Array, table: np.ndarray, lower: bool = False, size: int =
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
-        hi = min(hi, len(column))
+        hi = min(hi, len(column), lo + rows)
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if lower:
             part = lower_table()[part]
@@ -141,6 +141,20 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def runs(block: Block, first: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The texts of runs of words, n[i] (1 at least) from word first[i] on, joined by one space."""
+    which, k = spread(n)
+    word = first[which] + k
+    length = block.end[word] - block.start[word]
+    cell, byte = spread(length + 1)
+    out = block.data[np.minimum(block.start[word][cell] + byte, max(0, len(block.data) - 1))]
+    out[byte == length[cell]] = 0x20
+    ends = np.cumsum(np.bincount(which, length + 1, len(n))).astype(np.int64)
+    out = np.delete(out, ends - 1)  # the space after a run's last word
+    offsets = np.append(0, ends - np.arange(1, len(n) + 1)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(out))]).cast(pa.string())
+
+
 def rolling(h: np.ndarray, m: int) -> np.ndarray:
     """A hash of every m consecutive values, by doubling; shorter than h by m - 1."""
     if len(h) < m:
