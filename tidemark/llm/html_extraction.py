@@ -1,15 +1,17 @@
 """Main-text extraction by tree scoring.
 
 A page is read into a tree with the usual tolerance: omitted end tags are implied, stray ones ignored. Elements that
-are no content (scripts, styles, forms, navigation, and by role, class or id menus, sidebars, notices, adverts and
-reader comments) are cut off, page headers and footers too. Every paragraph, that is every block with text of its own,
-passes points to its ancestors: one, one a comma, and one a hundred characters; its parent gets all, its grandparent
-half, the next a third. An element's points are discounted by its link density, the part of its text in links. The
-element with most points is the container; if it lies in an ``article``, that is taken instead. Siblings of the
-container are kept with it if they have a fifth of its points, or are long paragraphs of few links.
-
-Character references are decoded, white space in a block becomes one space, and blocks are joined in page order by a
-line feed. If the rules on classes leave nothing, they are dropped for that page, and a form with most of its points is kept.
+are no content (scripts, styles, navigation, and by role, class or id menus, sidebars, adverts and reader comments) are
+cut off, page headers and footers too. Forms, and elements whose class only hints (notices, promotions, headers and the
+like), are cut off unless they hold more than half of the page's points. Every paragraph, that is every block with text
+of its own, passes points to its ancestors: one, one a comma, and one a hundred characters; its parent gets all, its
+grandparent half, the next a third. An element's points are discounted by its link density, the part of its text in
+links. The element with most points is the container; if it lies in an ``article``, that is taken instead, with the
+other articles beside it that have a fifth of its points. Siblings of a container are kept with it if they have a fifth
+of its points, are long paragraphs of few links, or are a heading before it.
+
+Character references are decoded in each piece of text by itself, white space in a block becomes one space, and blocks
+are joined in page order by a line feed. If the rules on classes leave nothing, they are dropped for that page.
 
 A null or empty page gives an empty text. Long pages and deep trees are read without recursion, in time linear in
 their length. Repeated rows give a row each. Further columns are ignored.
@@ -26,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scratch import document_batches
+from tidemark.llm import words as W
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROPPED = RAW | {"head", "nav", "aside", "form", "button", "select", "option", "menu", "dialog", "svg", "object", "canvas", "audio", "video", "map", "fieldset", "label"}
+DROPPED = RAW | {"head", "nav", "aside", "button", "select", "option", "menu", "dialog", "svg", "object", "canvas", "audio", "video", "map", "fieldset", "label"}
 EDGE = {"header", "footer"}
 HEAD = RAW - {"textarea", "iframe", "xmp"} | {"base", "link", "meta"}  # others end an open head
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -40,41 +42,49 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "p": {"td", "th", "li", "div", "article", "section", "blockquote", "body", "main"}}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "form"}
 JUNK = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
-    "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager",
-    "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored",
-    "subscribe", "toolbar", "widget",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
+    "disqus", "footer", "gdpr", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "pager", "pagination", "replies", "sidebar", "skip", "sponsor",
+    "sponsored",
+}
+HINTS = {
+    "banner", "modal", "notice", "notices", "notification", "popup", "promo", "promoted", "promotion", "related", "share", "sharing", "social", "subscribe",
+    "toolbar", "widget",
 }
+CONTENT = {"article", "content", "entry", "post", "story"}  # a header of one of these is its title
+HEADINGS = {"h1", "h2"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "junk", "in_article", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "junk", "hinted", "in_article", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, junk: bool = False) -> None:
-        self.tag, self.parent, self.junk = tag, parent, junk
+    def __init__(self, tag: str, parent: Node | None, junk: bool = False, hinted: bool = False) -> None:
+        self.tag, self.parent, self.junk, self.hinted = tag, parent, junk, hinted
         self.children: list[Node | str] = []
         self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
-def _is_junk(tag: str, attributes: str, inside: bool, by_class: bool) -> bool:
-    form = tag == "form" and not by_class  # judged by _without_forms
-    if tag in DROPPED and not form or tag in EDGE and not inside or tag == "footer":
-        return True
+def _verdict(tag: str, attributes: str, inside: bool, by_class: bool) -> tuple[bool, bool]:
+    """Whether an element is no content, and whether it only may be none."""
+    if tag in DROPPED or tag in EDGE and not inside or tag == "footer":
+        return True, False
+    hinted = form = tag == "form"
     if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes:
-        return False
+        return False, hinted
     for name, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "").lower()
         name = name.lower()
         if name in ("class", "id"):
-            if by_class and (set(re.split(r"[^a-z]+", value)) & JUNK or "header" in value and not inside):
-                return True
+            words = set(re.split(r"[^a-z]+", value))
+            if by_class and words & JUNK:
+                return True, False
+            hinted |= by_class and bool(words & HINTS or "header" in value and not inside and not words & CONTENT)
         elif name == "role":
             if value in ROLES and not (form and value == "form"):
-                return True
+                return True, False
         elif name == "hidden" or name == "aria-hidden" and value == "true" or re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return True, False
+    return False, hinted
 
 
 def parse(page: str, by_class: bool = True) -> tuple[Node, list[Node]]:
@@ -118,7 +128,8 @@ def parse(page: str, by_class: bool = True) -> tuple[Node, list[Node]]:
                 if opened[other]:
                     at = _close(at, other, opened, HOLDS[tag])
         attributes = m[3] or m[6] or ""
-        node = Node(tag, at, at.junk or _is_junk(tag, attributes, at.in_article, by_class))
+        junk, hinted = _verdict(tag, attributes, at.in_article, by_class)
+        node = Node(tag, at, at.junk or junk, hinted)
         at.children.append(node)
         nodes.append(node)
         if attributes.endswith("/") and tag in ("svg", "path", "use"):
@@ -151,28 +162,22 @@ def _own_text(node: Node) -> str:
     return "".join(c for c in node.children if isinstance(c, str))
 
 
-def _without_forms(nodes: list[Node]) -> None:
-    """Make forms junk, but for one that holds more than half of the page's paragraph points."""
-    if not any(n.tag == "form" for n in nodes):
+def _judge(nodes: list[Node]) -> None:
+    """Make hinted elements junk, but for those that hold more than half of the page's points."""
+    if not any(n.hinted for n in nodes):
         return
-    block_of: dict[int, Node] = {}
-    form_of: dict[int, Node | None] = {}
-    text_of: dict[int, list[str]] = {}
+    points, filled, block_of = dict.fromkeys(map(id, nodes), 0.0), set(), {}
     for n in nodes:
-        up = form_of.get(id(n.parent))
-        form_of[id(n)] = up or (n if n.tag == "form" else None)
         block = block_of[id(n)] = n if n.tag not in INLINE or n.parent is None else block_of[id(n.parent)]
         if not n.junk and (own := _own_text(n)).strip():
-            text_of.setdefault(id(block), []).append(own)
-    points: Counter = Counter()
-    for n in nodes:
-        if id(n) in text_of:
-            text = " ".join(text_of[id(n)])
-            points[id(form_of[id(n)])] += 1 + text.count(",") + len(text) / 100
+            points[id(n)] += own.count(",") + len(own) / 100 + (id(block) not in filled)
+            filled.add(id(block))
+    total = sum(points.values())
+    for n in reversed(nodes):
+        if n.parent is not None:
+            points[id(n.parent)] += points[id(n)]
     for n in nodes:
-        form = form_of[id(n)]
-        if form is not None and 2 * points[id(form)] <= points.total():
-            n.junk = True
+        n.junk = n.junk or n.parent is not None and n.parent.junk or n.hinted and 2 * points[id(n)] <= total
 
 
 def _score(nodes: list[Node]) -> None:
@@ -216,15 +221,33 @@ def _kept(root: Node, nodes: list[Node]) -> list[Node]:
     if not found:
         return []
     best = max(found, key=lambda n: n.points)
-    up = best
-    while up is not None and up.tag != "article":
-        up = up.parent
-    if up is not None:
-        return [up]
+    if (up := _article_of(best)) is not None:
+        others = [n for n in up.parent.children if isinstance(n, Node) and n.tag == "article" and not n.junk]
+        return [n for n in others if n is up or n.points >= 0.2 * up.points]
     if best.parent is None or best.tag in ("body", "html", "main"):
         return [best]
-    keep = lambda n: n is best or n.points >= 0.2 * best.points or n.tag == "p" and n.chars > 80 and _density(n) < 0.25
-    return [n for n in best.parent.children if isinstance(n, Node) and not n.junk and keep(n)]
+    beside = [n for n in best.parent.children if isinstance(n, Node) and not n.junk]
+    place = next(i for i, n in enumerate(beside) if n is best)
+    alike = lambda n: n is best or n.points >= 0.2 * best.points or n.tag == "p" and n.chars > 80 and _density(n) < 0.25
+    return [n for i, n in enumerate(beside) if alike(n) or i < place and _is_heading(n)]
+
+
+def _article_of(n: Node | None) -> Node | None:
+    while n is not None and n.tag != "article":
+        n = n.parent
+    return n
+
+
+def _is_heading(n: Node) -> bool:
+    """Whether an element is a heading, or has one that is most of its text."""
+    todo, chars = [n], 0
+    while todo:
+        x = todo.pop()
+        if x.tag in HEADINGS and not x.junk:
+            chars += x.chars
+        else:
+            todo.extend(c for c in x.children if isinstance(c, Node))
+    return 2 * chars > n.chars
 
 
 def _lines(top: Node) -> list[str]:
@@ -233,9 +256,8 @@ def _lines(top: Node) -> list[str]:
     held: list[str] = []
 
     def flush() -> None:
-        text = "".join(held)
+        text = " ".join("".join(held).split())
         held.clear()
-        text = " ".join((html.unescape(text) if "&" in text else text).split())
         if text:
             out.append(text)
 
@@ -245,7 +267,7 @@ def _lines(top: Node) -> list[str]:
         if x is None:
             flush()
         elif isinstance(x, str):
-            held.append(x)
+            held.append(html.unescape(x) if "&" in x else x)
         elif not x.junk:
             if x.tag not in INLINE:
                 flush()
@@ -261,8 +283,7 @@ def main_text(page: str | None) -> str:
         return ""
     for by_class in (True, False):
         root, nodes = parse(page, by_class)
-        if not by_class:
-            _without_forms(nodes)
+        _judge(nodes)
         lines = [line for top in _kept(root, nodes) for line in _lines(top)]
         if lines:
             return "\n".join(lines)
@@ -271,14 +292,12 @@ def main_text(page: str | None) -> str:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo in range(0, b.num_rows, 256):
-            part = b.slice(lo, 256)
+        for part in W.slices(b, ["html"]):
             text = pa.array([main_text(x) for x in part.column("html").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), text], names=["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Return (page_id, url, text) of each page."""
-    document_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html")
     return pages.mapInArrow(_extract, "page_id long, url string, text string")
