@@ -3,8 +3,8 @@
 Base kinds are found by their patterns. The method adds candidates of the kind ``opaque``: long runs of token
 characters that mix digits with letters of both cases and overlap no base span. All candidate values are hashed and
 aggregated over the whole corpus by distinct repositories and distinct owners. A value with ``shared_owners`` owners or
-``shared_repos`` repositories or more is a widely copied example; a value of fewer that has ``distinct_chars``
-different characters looks live. Opaque spans are kept where they look live; base spans always stay.
+``shared_repos`` repositories or more is a widely copied example; a value of fewer whose characters have an entropy of
+``entropy`` bits or more looks live. Opaque spans are kept where they look live; base spans always stay.
 
 Places are code points. A pattern's matches are placed by adding up the lengths of matches and of the text between
 them. A null text is empty; a null owner or repository counts for none. Repeated rows give a row each.
@@ -54,11 +54,17 @@ def _placed(found: DataFrame) -> DataFrame:
     rows = rows.withColumns({"end": upto.cast("long"), "start": (upto - F.col("length")).cast("long")})
     mixed = F.col("secret").rlike("[0-9]") & F.col("secret").rlike("[a-z]") & F.col("secret").rlike("[A-Z]")
     rows = rows.where(_long_enough() & ((F.col("kind") != "opaque") | mixed))
-    chars = F.size(F.array_distinct(F.split("secret", "")))
-    return rows.select("row", "repository", "owner", "kind", "start", "end", F.xxhash64("secret").alias("value"), chars.alias("chars"))
+    return rows.select("row", "repository", "owner", "kind", "start", "end", F.xxhash64("secret").alias("value"), _entropy("secret").alias("entropy"))
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", shared_owners: int = 3, shared_repos: int = 50, distinct_chars: int = 10) -> DataFrame:
+def _entropy(text: str) -> Column:
+    """Bits a character, by the text's own frequencies of characters."""
+    chars, n = F.filter(F.split(text, ""), lambda x: x != ""), F.length(text)
+    part = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
+    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda total, c: total - part(c) * F.log2(part(c)))
+
+
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", shared_owners: int = 3, shared_repos: int = 50, entropy: float = 3.0) -> DataFrame:
     """Return (doc_id, spans) of each document; spans: (start, kind, end, class, is_base) in the order of start, then kind.
 
     ``class`` is shared, live or weak. Ownership is counted over all of ``docs``.
@@ -73,7 +79,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", sha
     spread = hits.groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repos"))
     shared = (F.col("owners") >= shared_owners) | (F.col("repos") >= shared_repos)
     classes = cut(spread.select("value", shared.alias("shared")), "classes")
-    hits = hits.join(classes, "value").withColumn("class", F.when(F.col("shared"), "shared").when(F.col("chars") >= distinct_chars, "live").otherwise("weak"))
+    hits = hits.join(classes, "value").withColumn("class", F.when(F.col("shared"), "shared").when(F.col("entropy") >= entropy, "live").otherwise("weak"))
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     span = F.struct("start", order.alias("rank"), "kind", "end", "class", (F.col("kind") != "opaque").alias("is_base"))
     per_row = hits.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
