@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import cut
 
+RANGE = 500_000  # documents in a range of the global order, about
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,7 +64,9 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 15), 16, 10).cast("long")
     sized = docs.select("doc_id", "source", words_in("text").alias("size"), key.alias("key"))
     sized = cut(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
-    bins = max(1, math.isqrt(sized.count()))
+    count = sized.count()
+    bins = max(1, math.isqrt(count))
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), cap * count // RANGE)
 
     targets = cut(source_targets(sized, weights, cap, share), "targets")
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
@@ -86,7 +89,7 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
 
     # The global order, in range partitions; each one's tokens before it, then a running total in it.
     order = ["finish", "rank", "round", "key", "doc_id", "row"]
-    served = cut(queued.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "queue")
+    served = cut(queued.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "queue")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = served.groupBy("part").agg(F.sum("size").alias("tokens"))
     parts = parts.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
