@@ -74,7 +74,7 @@ def test_pipeline_of_an_empty_table(spark, none, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
-    for view in ("documents", "benchmark"):
+    for view in ("documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{DATA}/{view}.parquet'")
     found = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in found.description]

@@ -32,19 +32,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.graph import components
-from tidemark.functions.scratch import cut, document_batches
+from tidemark.functions.scratch import cut, release
 from tidemark.llm import words as W
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 SLOTS = 1 << 17
+BITS = 52  # of a shingle's hash; the others number the rows of a block
 MASKS = 8
 MASK_NAMES = [f"m{i}" for i in range(MASKS)]
 
 
+def _blocks(column: pa.Array, table: np.ndarray) -> Iterator[W.Block]:
+    return W.blocks(column, table, rows=1 << (64 - BITS))
+
+
 def shingle_sets(block: W.Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle, times) of the distinct shingles of each row, by row; a short row is one shingle."""
+    """(row, shingle, times) of the distinct shingles of each row, by row; a short row is one shingle.
+
+    A shingle is ``BITS`` bits of its hash, so that it sorts in one word with its row in the block.
+    """
     h, counts = block.hashes(), block.counts()
     at = W.inside_row(block, n)
     row, s = block.row_of_word()[at], W.rolling(h, n)[at] if len(at) else np.zeros(0, W.U)
@@ -52,11 +60,11 @@ def shingle_sets(block: W.Block, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     if len(short):
         whole = [W.rolling(h[block.first[r] : block.first[r + 1]], int(counts[r]))[0] for r in short]
         row, s = np.append(row, short), np.append(s, np.array(whole, W.U))
-    key = np.sort((row.astype(W.U) << W.U(44)) | (s >> W.U(20)))
+    key = np.sort((row.astype(W.U) << W.U(BITS)) | (s >> W.U(64 - BITS)))
     if not len(key):
         return np.zeros(0, int), key, np.zeros(0, int)
     new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return (key[new] >> W.U(44)).astype(int), key[new] & W.U((1 << 44) - 1), np.diff(np.append(new, len(key)))
+    return (key[new] >> W.U(BITS)).astype(int), key[new] & W.U((1 << BITS) - 1), np.diff(np.append(new, len(key)))
 
 
 def signatures(row: np.ndarray, shingle: np.ndarray, times: np.ndarray, rows: int, m: int = REGISTERS) -> np.ndarray:
@@ -94,7 +102,7 @@ def band_hashes(kept: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = W.space_table()
     for b in batches:
-        for block in W.blocks(b.column("text"), table):
+        for block in _blocks(b.column("text"), table):
             rows = block.rows
             sketch = band_hashes(signatures(*shingle_sets(block, SHINGLE), rows))
             some = block.counts() > 0
@@ -108,11 +116,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _similar(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = W.space_table()
-        for b in batches:
+        for b in (part for whole in batches for part in W.slices(whole, ["text_a", "text_b"])):
             sets: list[list[np.ndarray]] = []
             for name in ("text_a", "text_b"):
                 mine: list[np.ndarray] = []
-                for block in W.blocks(b.column(name), table):
+                for block in _blocks(b.column(name), table):
                     row, shingle, _ = shingle_sets(block, SHINGLE)
                     mine += np.split(shingle, np.searchsorted(row, np.arange(1, block.rows)))
                 sets.append(mine)
@@ -150,7 +158,7 @@ def _split_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
 def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, table = np.zeros(SLOTS, np.int64), W.space_table()
     for b in batches:
-        for block in W.blocks(b.column("text"), table):
+        for block in _blocks(b.column("text"), table):
             total += np.bincount((shingle_sets(block, SHINGLE)[1] % W.U(SLOTS)).astype(np.int64), minlength=SLOTS)
     some = np.flatnonzero(total)
     yield W.batch({"slot": (some.astype(np.int32), pa.int32()), "c": (total[some], pa.int64())})
@@ -165,7 +173,7 @@ def _prefixes(sent, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, counts = W.space_table(), sent.value
         for b in batches:
-            for block in W.blocks(b.column("text"), table):
+            for block in _blocks(b.column("text"), table):
                 row, shingle, _ = shingle_sets(block, SHINGLE)
                 order = np.lexsort((shingle, counts[(shingle % W.U(SLOTS)).astype(np.int64)], row))
                 shingle = shingle[order]
@@ -209,7 +217,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, row: str | No
     column of that name, or numbers the rows of ``docs`` as ``monotonically_increasing_id`` does. Such numbers hold for
     one scan only; a caller who joins on them has to write them first and name their column.
     """
-    document_batches(docs.sparkSession)
     docs = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("node"), "text")
     sketched = cut(docs.mapInArrow(_sketch, "row long, doc_id long, node long, bands array<long>"), "sketches")
     banded = sketched.where("node IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
@@ -227,15 +234,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, row: str | No
     links = cut(_verified(pairs, texts, threshold), "links")
     open_buckets = _split_buckets(members, links)
     more = cut(_prefix_pairs(open_buckets, texts, threshold).join(pairs, ["a", "b"], "left_anti"), "more_pairs")
-    links = cut(links.unionByName(_verified(more, texts, threshold)), "links")
+    all_links = cut(links.unionByName(_verified(more, texts, threshold)), "links")
+    release(members, nodes, texts, centres, pairs, links, open_buckets, more)
 
     # A document without words is a class of its own, under its row's number.
     key = F.coalesce(F.col("label"), F.col("node"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    labels = cut(components(links), "classes")
+    labels = components(all_links)
     rows = sketched.select("row", "doc_id", "node").join(labels, "node", "left").select("row", "doc_id", key.alias("node"))
-    lone = rows.where("node IS NULL").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("is_first"))
+    lone = sketched.where("node IS NULL").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("is_first"))
     rows = cut(rows.where("node IS NOT NULL"), "rows")
     classes = rows.groupBy("node").agg(F.min(order).alias("f"))
     classes = cut(classes.select("node", F.col("f.doc_id").alias("class_id"), F.col("f.row").alias("first_row")), "classes")
+    release(all_links, labels)
     return rows.join(classes, "node").select("row", "doc_id", "class_id", (F.col("row") == F.col("first_row")).alias("is_first")).unionByName(lone)
+
+
+def oracle(threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL for (doc_id, class_id) of :func:`near_duplicates`, for tables whose ids differ: all pairs by shared shingles."""
+    return rf"""
+    WITH RECURSIVE cells AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE text IS NOT NULL),
+    shingles AS (
+      SELECT DISTINCT doc_id, hash(array_to_string(ws[i : i + {SHINGLE - 1}], ' ')) AS s
+      FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - {SHINGLE - 1}) + 1)) AS i FROM cells WHERE len(ws) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    pairs AS (SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE c.n >= {threshold} * (x.n + y.n - c.n)),
+    links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    reached AS (SELECT doc_id AS node, doc_id AS label FROM documents UNION SELECT l.b, r.label FROM reached r JOIN links l ON l.a = r.node WHERE r.label < l.b)
+    SELECT node AS doc_id, min(label) AS class_id FROM reached GROUP BY node"""

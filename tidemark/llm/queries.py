@@ -44,8 +44,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm_scoring.score(docs, *lm_scoring.train(docs))
+    return lm_scoring.fit_and_score(table(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +73,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_substring_dedup": substring_dedup.oracle(), "op4_decontaminate": decontaminate.oracle(), "op8_mixing": mixing.oracle(), "op9_line_dedup": line_dedup.oracle(),
+        "op1_substring_dedup": substring_dedup.oracle(), "op4_decontaminate": decontaminate.oracle(), "op6_quality_rules": quality_rules.oracle(),
+        "op8_mixing": mixing.oracle(), "op9_line_dedup": line_dedup.oracle(), "op10_near_dedup": near_dedup.oracle(),
     }
