@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidemark.functions.scratch import cut
+from tidemark.functions.scratch import cut, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,6 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         seen = around.unionByName(above).groupBy("node").agg(F.min("next").alias("next"))
         changes = Observation()
         after = labels.join(seen, "node").select("node", F.least("label", "next").alias("label"), (F.col("next") < F.col("label")).alias("changed"))
-        labels = cut(after.observe(changes, F.count_if("changed").alias("n")).select("node", "label"), "labels")
+        before, labels = labels, cut(after.observe(changes, F.count_if("changed").alias("n")).select("node", "label"), "labels")
+        release(before)
         if not changes.get["n"]:
+            release(both)
             return labels

@@ -14,11 +14,13 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Return the folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, one machine) a temporary folder is made and used.
+    Only where that setting is missing and all of Spark is one process (tests) a temporary folder is made and used.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -42,24 +44,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def document_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches have ``rows`` rows at most, where the session still has Spark's default.
-
-    Rows that are whole documents make batches of 10,000 rows large, twice over in a join's result.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(table: DataFrame) -> None:
-    """Delete a table made by :func:`cut` that nothing will read again."""
-    _delete(table.sparkSession, table._scratch_path)
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`cut` that nothing will read again."""
+    for table in tables:
+        _delete(table.sparkSession, table._scratch_path)
 
 
 def drop_all(spark: SparkSession) -> None:
