@@ -21,7 +21,7 @@ SEQUENCE, STRIDE = 32, 16
 HISTORY, HISTORY_DAYS = 30, 90
 CENTROID_ALPHA, DRIFT_ALARM_STD = 0.1, 3.0
 TOP_K, N_LIST, N_PROBE = 10, 100, 20
-BATCH_SECONDS = 300
+BATCH_SECONDS, CACHE_SECONDS = 300, 1800
 
 # The encoder's shape.
 EMBED_DIM, FEATURE_DIM, GRU_HIDDEN, GRU_LAYERS, TIME2VEC = 128, 256, 128, 2, 8

@@ -55,7 +55,8 @@ def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
 def minutes(seeds: DataFrame, noise: float = C.NOISE_FRACTION, seed: int = 42) -> DataFrame:
     """One row a minute of each seed's day, by a spline through the hours that wraps at midnight, with seeded noise.
 
-    The spline is the one step that needs Python; rows are spread out in the JVM.
+    The spline is the one step that needs Python: its knots are fixed, so all curves of a batch are one product with the
+    curves of the unit vectors. Rows are spread out in the JVM.
     """
     keep = [c for c in seeds.columns if c != "hourly_values"]
     rows = filled_hours(seeds).where(F.get("hours", F.lit(0)).isNotNull())
@@ -63,8 +64,10 @@ def minutes(seeds: DataFrame, noise: float = C.NOISE_FRACTION, seed: int = 42) -
 
     def spline(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         knots, at = np.arange(-1.0, 25.0), np.arange(1440) / 60.0
+        units = np.array([not_a_knot(knots, y, at) for y in np.eye(len(knots))])
         for f in frames:
-            f["curve"] = [not_a_knot(knots, np.array([h[-1], *h, h[0]]), at) for h in f["hours"]]
+            hours = np.array(f["hours"].tolist(), float).reshape(len(f), 24)
+            f["curve"] = list(np.concatenate([hours[:, -1:], hours, hours[:, :1]], axis=1) @ units)
             yield f
 
     rows = rows.select(*keep, "hours").mapInPandas(spline, schema)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +48,39 @@ def mmd(samples: DataFrame, key: str = "entity_id", cap: int = 200) -> DataFrame
     return out
 
 
+def mmd_null(past: DataFrame, key: str = "entity_id", cap: int = 200, pairs: int = 1000, seed: int = 42) -> DataFrame:
+    """(key, draw, mmd2): the statistic between ``pairs`` random halves of an entity's own past, so of one distribution.
+
+    ``past`` is (key, id, embedding); the last ``2 * cap`` vectors by id of each entity are used, which bounds a group.
+    An entity of fewer than four has no null.
+    """
+    last = Window.partitionBy(key).orderBy(F.desc("id"))
+    rows = past.withColumn("__n", F.row_number().over(last)).where(F.col("__n") <= 2 * cap).select(key, "id", "embedding")
+
+    def draws(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        x = np.array(group["embedding"].tolist(), float)
+        n, half = len(x), len(x) // 2
+        if half < 2:
+            return pd.DataFrame({key: [], "draw": [], "mmd2": []})
+        d = np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T)
+        sigma = np.median(np.sqrt(d[np.triu_indices(n, 1)])) / np.sqrt(2)
+        kernel = np.exp(-d / (2 * sigma * sigma)) if sigma > 0 else np.ones_like(d)
+        np.fill_diagonal(kernel, 0)
+        draw = np.random.default_rng(seed)
+        order = np.argsort(draw.random((pairs, n)), axis=1)
+        sides = np.zeros((pairs, n))
+        np.put_along_axis(sides, order[:, :half], 1, axis=1)
+        other = np.zeros((pairs, n))
+        np.put_along_axis(other, order[:, half : 2 * half], 1, axis=1)
+        of = lambda a, b: np.einsum("ij,ij->i", a @ kernel, b)
+        within = half * (half - 1)
+        return pd.DataFrame({key: group[key].iloc[0], "draw": np.arange(pairs), "mmd2": (of(sides, sides) + of(other, other)) / within - 2 * of(sides, other) / half**2})
+
+    kind = past.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandas(draws, f"{key} {kind}, draw int, mmd2 double")
+
+
 def drift_score(mmds: DataFrame, null: DataFrame, key: str = "entity_id") -> DataFrame:
     """Scale mmd2 by the 99th percentile of a null distribution (key, mmd2), clamp to [0, 1], flag above 0.5."""
     top = null.groupBy(key).agg(F.percentile("mmd2", 0.99).alias("__top"))
@@ -73,22 +110,31 @@ def deduplicate(alerts: DataFrame, keys: list[str], ts: str = "timestamp", order
     return rows.where(F.col("__n") == 1).drop("__n")
 
 
+def active(alerts: DataFrame, as_of: Column, key: str = "entity_id", ts: str = "timestamp", idle_minutes: int = 30) -> DataFrame:
+    """Alerts up to ``as_of`` of entities whose last one is at most ``idle_minutes`` old; idle entities are pruned."""
+    seen = alerts.where(F.col(ts) <= as_of)
+    last = seen.groupBy(key).agg(F.max(ts).alias("__last")).where(F.timestamp_diff("MICROSECOND", F.col("__last"), as_of) <= idle_minutes * 60_000_000)
+    return seen.join(last.select(key), key, "left_semi")
+
+
 def correlate(alerts: DataFrame, attributes: list[str], key: str = "entity_id", ts: str = "timestamp", minutes: int = 10, shared: int = 2) -> DataFrame:
     """(node, label): groups of entities that share ``shared`` attributes and alert within ``minutes`` of each other.
 
-    Entities meet through combinations of attribute values within time slots, each joined to the next slot too. An
-    alert is linked to the one before it in such a combination only, which joins the same groups as all pairs would:
-    two alerts in reach have only alerts in reach of each other between them.
+    Entities meet through combinations of attribute values. An alert is linked to the one before it in such a combination
+    only, which joins the same groups as all pairs would: two alerts in reach have only alerts in reach of each other
+    between them. A combination is cut into time slots of ``minutes``, so none is one task's work: the one before is in
+    the same slot, or it is the last of the slot before, as beyond an empty slot nothing is in reach.
     """
-    from itertools import combinations
-
     combos = F.array(*[F.concat_ws("|", *[F.concat(F.lit(f"{a}="), F.col(a).cast("string")) for a in c]) for c in combinations(sorted(attributes), shared)])
-    rows = alerts.select(key, F.col(ts).alias("ts"), F.explode(combos).alias("combo"))
-    before = Window.partitionBy("combo").orderBy("ts", key)
-    rows = rows.withColumns({"a": F.lag(key).over(before), "__t": F.lag("ts").over(before)})
-    near = F.timestamp_diff("SECOND", F.col("__t"), F.col("ts")) <= 60 * minutes
-    links = rows.where(near & (F.col("a") != F.col(key))).select("a", F.col(key).alias("b")).distinct()
-    return components(links)
+    micros, slot = F.unix_micros(F.col(ts).cast("timestamp")), minutes * 60_000_000
+    rows = alerts.select(key, micros.alias("t"), F.explode(combos).alias("combo")).withColumn("slot", F.floor(F.col("t") / slot))
+    before = Window.partitionBy("combo", "slot").orderBy("t", key)
+    inside = rows.select(F.lag(key).over(before).alias("a"), F.col(key).alias("b"))
+    ends = rows.groupBy("combo", "slot").agg(F.min(F.struct("t", F.col(key).alias("e"))).alias("first"), F.max(F.struct("t", F.col(key).alias("e"))).alias("last"))
+    next_ = ends.select("combo", (F.col("slot") - 1).alias("slot"), F.col("first").alias("next"))
+    across = ends.join(next_, ["combo", "slot"]).where(F.col("next.t") - F.col("last.t") <= slot)
+    links = inside.unionByName(across.select(F.col("last.e").alias("a"), F.col("next.e").alias("b")))
+    return components(links.where("a <> b").distinct())
 
 
 def regional(groups: DataFrame, regions: DataFrame, key: str = "entity_id", more_than: int = 10) -> DataFrame:
@@ -97,6 +143,28 @@ def regional(groups: DataFrame, regions: DataFrame, key: str = "entity_id", more
     return rows.withColumn("is_regional", F.col("entities") > more_than)
 
 
+def sev_level(criticality: Column, severity: Column, group: Column) -> Column:
+    """1 to 4 by the severity matrix: the alert's severity, raised by one for a critical entity or a regional group.
+
+    A low alert of a usual entity is 4, a critical one 1; a null criticality or group raises nothing.
+    """
+    base = F.when(severity == "CRITICAL", 1).when(severity == "HIGH", 2).when(severity == "MEDIUM", 3).otherwise(4)
+    raised = F.coalesce((criticality == "critical").cast("int"), F.lit(0)) + F.coalesce((group == "REGIONAL_OUTAGE").cast("int"), F.lit(0))
+    return F.greatest(F.lit(1), base - F.least(F.lit(1), raised))
+
+
+def notify_method(level: Column, is_quiet: Column) -> Column:
+    """Level 1 pages always; 2 pages and 3 writes, but both only post in quiet hours; 4 only posts."""
+    return F.when(level == 1, "page").when(is_quiet | (level >= 4), "post").when(level == 2, "page").otherwise("mail")
+
+
+def downgraded(alerts: DataFrame, key: str = "entity_id", group: str = "group_id", ts: str = "timestamp", hours: int = 4) -> DataFrame:
+    """Lower ``level`` 3 to 4 where the entity had a level 3 in the same group within ``hours`` before."""
+    before = F.lag(ts).over(Window.partitionBy(key, group, "level").orderBy(ts, "seq"))
+    again = (F.col("level") == 3) & (F.timestamp_diff("MICROSECOND", before, F.col(ts)) < hours * 3_600_000_000)
+    return alerts.withColumn("__again", F.coalesce(again, F.lit(False))).withColumn("level", F.when(F.col("__again"), 4).otherwise(F.col("level"))).drop("__again")
+
+
 def escalate(alerts: DataFrame, rules: list[tuple[Column, str]], otherwise: str = "none", key: str = "entity_id", ts: str = "timestamp", hours: int = 4) -> DataFrame:
     """Add ``rule``, the first that matches, and ``suppressed``: the same rule for the entity within ``hours`` before."""
     first = F.lit(otherwise)

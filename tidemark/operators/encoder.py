@@ -8,6 +8,7 @@ optional projection head; unit length. Weights are given, from a file or from a
 from __future__ import annotations
 
 import io
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.functions import exprs as X
+from tidemark.functions.guards import require_columns, require_positive
 
 
 def seeded_weights(vocabularies: list[int], numbers: int = 3, feature: int = C.FEATURE_DIM, hidden: int = C.GRU_HIDDEN, out: int = C.EMBED_DIM, seed: int = 0) -> dict[str, np.ndarray]:
@@ -141,18 +143,55 @@ def encode(sequences: DataFrame, weights: dict[str, np.ndarray], keys: list[str]
     return sequences.select(*keys, "steps", "length").mapInPandas(run, schema)
 
 
-def ntxent(pairs: DataFrame, temperature: float = C.TEMPERATURE) -> DataFrame:
-    """One row, ``loss``: symmetric contrastive loss of a batch (i, a, b) of matched unit vectors.
+WARM_UPS, ONLINE_CHUNK = 3, 64
 
-    Every vector's similarities to all others are needed, so the batch is a parameter-sized table joined to itself.
+
+def encode_one(weights: dict[str, np.ndarray], steps: list[dict], project: bool = False) -> np.ndarray:
+    """The vector of a single sequence, given without a batch dimension."""
+    lengths = np.array([len(steps)])
+    return forward(weights, *collate([steps], lengths), lengths, project)[0]
+
+
+def encode_online(sequences: DataFrame, weights: dict[str, np.ndarray], keys: list[str], chunk: int = ONLINE_CHUNK, project: bool = False) -> DataFrame:
+    """As :func:`encode`, with ``latency_ms``, the time of the chunk that a row was in, and ``chunk_rows``.
+
+    Each worker first runs ``WARM_UPS`` sequences of zeros, whose time is not kept.
+    """
+    require_positive(chunk=chunk)
+    sent = sequences.sparkSession.sparkContext.broadcast(weights)  # one model
+    schema = ", ".join(f"`{k}` {sequences.schema[k].dataType.simpleString()}" for k in keys) + ", embedding array<float>, latency_ms double, chunk_rows int"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in range(WARM_UPS):
+            forward(sent.value, np.zeros((1, 8, 3), np.float32), np.zeros((1, 8, 4), np.int64), np.zeros((1, 8), np.float32), np.array([8]))
+        for f in frames:
+            for lo in range(0, len(f), chunk):
+                part = f.iloc[lo : lo + chunk]
+                lengths = part["length"].to_numpy()
+                inputs = collate(part["steps"].tolist(), lengths)
+                began = time.perf_counter()
+                vectors = forward(sent.value, *inputs, lengths, project)
+                took = 1000 * (time.perf_counter() - began)
+                yield part[keys].assign(embedding=list(vectors), latency_ms=took, chunk_rows=len(part))
+
+    return require_columns(sequences, [*keys, "steps", "length"]).select(*keys, "steps", "length").mapInPandas(run, schema)
+
+
+def ntxent(pairs: DataFrame, temperature: float = C.TEMPERATURE, batch: str | None = None) -> DataFrame:
+    """``loss``: symmetric contrastive loss of a batch (i, a, b) of matched unit vectors; with ``batch``, one row a batch.
+
+    Every vector's similarities to the others of its batch are needed, so a batch of the size that training takes is
+    joined to itself, on its number; there are as many rows as batches times their size squared.
     """
-    if temperature <= 0:
-        raise ValueError("temperature must be positive")
-    rows = pairs.select("i", F.explode(F.array(F.struct(F.lit(0).alias("view"), F.col("a").alias("e")), F.struct(F.lit(1).alias("view"), F.col("b").alias("e")))).alias("x")).select("i", "x.*")
-    other = rows.select(F.col("i").alias("j"), F.col("view").alias("w"), F.col("e").alias("o"))
-    sims = rows.join(other, (F.col("i") != F.col("j")) | (F.col("view") != F.col("w"))).withColumn("s", X.dot(F.col("e"), F.col("o")) / temperature)
-    each = sims.groupBy("i", "view").agg(F.log(F.sum(F.exp(F.col("s") - 1 / temperature))).alias("l"), F.max(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("p"))
-    return each.agg(F.avg(F.col("l") + 1 / temperature - F.col("p")).alias("loss"))
+    require_positive(temperature=temperature)
+    batched = pairs.select((F.col(batch) if batch else F.lit(0)).alias("batch"), "i", "a", "b")
+    views = F.array(F.struct(F.lit(0).alias("view"), F.col("a").alias("e")), F.struct(F.lit(1).alias("view"), F.col("b").alias("e")))
+    rows = batched.select("batch", "i", F.explode(views).alias("x")).select("batch", "i", "x.*")
+    other = rows.select("batch", F.col("i").alias("j"), F.col("view").alias("w"), F.col("e").alias("o"))
+    sims = rows.join(other, "batch").where("i <> j OR view <> w").withColumn("s", X.dot(F.col("e"), F.col("o")) / temperature)
+    each = sims.groupBy("batch", "i", "view").agg(F.log(F.sum(F.exp(F.col("s") - 1 / temperature))).alias("l"), F.max(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("p"))
+    loss = F.avg(F.col("l") + 1 / temperature - F.col("p")).alias("loss")
+    return each.groupBy(F.col("batch").alias(batch)).agg(loss) if batch else each.agg(loss)
 
 
 def latency_percentiles(samples: DataFrame, value: str = "latency_ms", order: str = "seq", cap: int = 10_000) -> DataFrame:

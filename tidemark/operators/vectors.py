@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.functions import exprs as X
+from tidemark.functions.guards import require_columns, require_positive
 from tidemark.functions.scratch import cut
 
 BROADCAST_QUERIES = 4096
@@ -84,16 +86,22 @@ def ema_update(prior: DataFrame, new: DataFrame, key: str = "entity_id", order:
     return rows.select(key, X.normalised(F.col("__s.c")).alias("centroid"), ((spread > 0) & (far > stds * spread)).alias("drift_alarm"), far.alias("max_distance"))
 
 
+def _matrix(b: pa.RecordBatch, width: int) -> np.ndarray:
+    values = np.asarray(b.column("embedding").flatten(), dtype=np.float64)
+    if len(values) != width * b.num_rows:
+        raise ValueError(f"expected vectors of width {width}, got {len(values)} numbers in {b.num_rows} rows")
+    return values.reshape(b.num_rows, width)
+
+
 def _topk(queries: list[tuple], matrix: np.ndarray, owners: np.ndarray, k: int, exclude: bool):
     """Best k of each Arrow batch for every query, by one matrix product a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array([q[0] for q in queries])
         for b in batches:
-            values = b.column("embedding")
             if not b.num_rows:
                 continue
-            corpus = np.asarray(values.flatten(), dtype=np.float64).reshape(b.num_rows, -1)
+            corpus = _matrix(b, matrix.shape[1])
             vec = b.column("vec_id").to_numpy()
             who = np.array(b.column("entity_id").to_pylist(), object)
             out_q, out_v, out_d = [], [], []
@@ -123,6 +131,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = C.TOP_K, exclude_own
     its k best of each query, and a window ranks what is left. Own-entity vectors are left out before ranking, so k
     are found whenever there are k.
     """
+    require_positive(k=k, block=block)
     spark, found = corpus.sparkSession, None
     rows: list[tuple] = []
 
@@ -158,11 +167,13 @@ def train_cells(corpus: DataFrame, cells: int = C.N_LIST, seed: int = 42) -> lis
 
 def assign_cells(vectors: DataFrame, centres: list[np.ndarray], probe: int = 1) -> DataFrame:
     """Add ``cells``, the ``probe`` nearest cells of each vector; centres are sent with the task."""
+    if not len(centres):
+        raise ValueError("the index is not trained: it has no cells")
     matrix = np.array(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = np.asarray(b.column("embedding").flatten(), np.float64).reshape(b.num_rows, -1)
+            v = _matrix(b, matrix.shape[1])
             d = (v**2).sum(1)[:, None] + (matrix**2).sum(1)[None] - 2 * v @ matrix.T
             near = np.argsort(d, axis=1, kind="stable")[:, :probe].astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(near), pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
@@ -172,8 +183,11 @@ def assign_cells(vectors: DataFrame, centres: list[np.ndarray], probe: int = 1)
 
 
 def build_index(corpus: DataFrame, path: str, centres: list[np.ndarray], mode: str = "overwrite") -> None:
-    """Write vectors by cell, and the centres beside them; another call with mode append adds vectors."""
-    spark = corpus.sparkSession
+    """Write vectors by cell, and the centres beside them; another call with mode append adds vectors.
+
+    Vectors need an id and an entity, and the width of the centres; an index without centres takes none.
+    """
+    spark = require_columns(corpus, ["vec_id", "entity_id", "embedding"]).sparkSession
     assign_cells(corpus, centres).withColumn("cell", F.element_at("cells", 1)).drop("cells").write.mode(mode).partitionBy("cell").parquet(f"{path}/vectors")
     spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
 
@@ -208,6 +222,25 @@ def nearest_in_cells(queries: DataFrame, indexed: DataFrame, centres: list[np.nd
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("similarity", X.cosine_from_squared(F.col("distance")))
 
 
+class SearchCache:
+    """Searches kept for ``ttl`` seconds; the key is the whole request: the corpus version, the queries, k and exclusions.
+
+    A result is a written table, so it can be read by all executors; one that has expired is searched anew.
+    """
+
+    def __init__(self, ttl: float = C.CACHE_SECONDS, clock: Callable[[], float] = time.monotonic) -> None:
+        self.ttl, self.clock, self.held = ttl, clock, {}
+
+    def search(self, name: str, queries: DataFrame, corpus: DataFrame, **options) -> DataFrame:
+        """The result of :func:`nearest`; ``name`` tells one version of queries and corpus from another."""
+        key, now = (name, *sorted(options.items())), self.clock()
+        until, table = self.held.get(key, (0.0, None))
+        if table is None or now >= until:
+            table = cut(nearest(queries, corpus, **options), "search")
+            self.held[key] = (now + self.ttl, table)
+        return table
+
+
 def cached_search(queries: DataFrame, corpus: DataFrame, **options) -> DataFrame:
-    """A search kept for reuse; its key is the whole request, k and exclusions included."""
+    """A search written once, for as long as its table is held."""
     return cut(nearest(queries, corpus, **options), "search")

@@ -10,7 +10,7 @@ from tidemark.functions.scratch import cut, shared_dir
 from tidemark.operators import baseline as B
 from tidemark.operators import detect as D
 from tidemark.plans.baseline_queries import _score_sql
-from tidemark.plans.ingest_queries import CLOUD
+from tidemark.plans.ingest_queries import CLOUD, REASON, wire_lines
 from tidemark.plans.registry import big, query, r6, table
 from tidemark.sources import events as S
 from tidemark.streaming import scoring
@@ -54,6 +54,30 @@ def escalation_first_match(spark, sf_dir):
     return D.escalate(alerts(spark, sf_dir), rules).select("seq", "rule", "suppressed")
 
 
+_LEVEL = "greatest(1, CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END - CASE WHEN entity_id::INT % 10 = 0 OR seq % 13 = 0 THEN 1 ELSE 0 END)"
+
+
+@query(f"""WITH {_ALERTS}, r AS (SELECT *, {_LEVEL} AS l0, hour(ts - INTERVAL 5 HOUR) < 7 AS is_quiet FROM s),
+b AS (SELECT *, lag(ts) OVER (PARTITION BY entity_id, cloud, l0 ORDER BY ts, seq) AS b FROM r),
+l AS (SELECT *, CASE WHEN l0 = 3 AND epoch_us(ts) - epoch_us(b) < 14400000000 THEN 4 ELSE l0 END AS level FROM b)
+SELECT seq, level, CASE WHEN level = 1 THEN 'page' WHEN is_quiet OR level = 4 THEN 'post' WHEN level = 2 THEN 'page' ELSE 'mail' END AS method FROM l""")
+def severity_levels(spark, sf_dir):
+    """Levels by the matrix, lowered where the same trouble was seen within four hours, and how each is sent."""
+    rows = alerts(spark, sf_dir)
+    criticality = F.when(F.col("entity_id").cast("int") % 10 == 0, "critical")
+    group = F.when(F.col("seq") % 13 == 0, "REGIONAL_OUTAGE")
+    rows = D.downgraded(rows.withColumn("level", D.sev_level(criticality, F.col("severity"), group)), group="cloud")
+    is_quiet = D.quiet(F.col("timestamp").cast("timestamp"), "America/New_York", 0, 7)
+    return rows.select("seq", "level", D.notify_method(F.col("level"), is_quiet).alias("method"))
+
+
+@query(f"""WITH {_ALERTS}, m AS (SELECT entity_id, max(ts) AS last FROM s WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY ALL)
+SELECT seq FROM s JOIN m USING (entity_id) WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' AND epoch_us(TIMESTAMP '2024-01-20 12:00:00') - epoch_us(last) <= 10800000000""")
+def active_alerts(spark, sf_dir):
+    """Alerts of the entities that were active in the three hours before an instant; the others are pruned."""
+    return D.active(alerts(spark, sf_dir), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"), idle_minutes=180).select("seq")
+
+
 @query("SELECT event_id AS seq, hour(ts - INTERVAL 5 HOUR) >= 22 OR hour(ts - INTERVAL 5 HOUR) < 6 AS is_quiet FROM events")
 def quiet_hours(spark, sf_dir):
     rows = S.records(table(spark, sf_dir, "events"))
@@ -67,7 +91,7 @@ def recent_alerts(spark, sf_dir):
 
 _NEAR = f"""WITH RECURSIVE {_ALERTS}, c AS (SELECT entity_id, ts, cloud, event_type, 'r' || (entity_id::INT % 30)::VARCHAR AS region FROM s WHERE severity IN ('HIGH', 'CRITICAL')),
 e AS (SELECT DISTINCT x.entity_id AS a, y.entity_id AS b FROM c x JOIN c y ON x.entity_id <> y.entity_id AND (x.cloud = y.cloud)::INT + (x.event_type = y.event_type)::INT + (x.region = y.region)::INT >= 2
-  AND abs(epoch_us(x.ts) - epoch_us(y.ts)) < 601000000),
+  AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 600000000),
 w AS (SELECT a AS node, a AS label FROM e UNION SELECT w.node, e.b FROM w JOIN e ON w.label = e.a)"""
 
 
@@ -105,6 +129,18 @@ def _to_table(stream, mode):
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+@query(f"""
+WITH e AS (SELECT (floor(epoch(ts))::BIGINT // 300) * 300 AS start, {REASON} AS reason FROM events)
+SELECT start, count(*) FILTER (reason IS NULL) AS n_valid, count(*) FILTER (reason IS NOT NULL) AS n_invalid FROM e GROUP BY start""")
+def stream_batches(spark, sf_dir):
+    """Event-time batches of 300 s by a streaming query, brought up to date by each micro-batch."""
+    rows = cut(wire_lines(spark, sf_dir).withColumn("at", F.col("at").cast("timestamp")), "replay")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(rows._scratch_path)
+    name = f"batches_{uuid.uuid4().hex}"
+    out = scoring.run_to_end(scoring.batch_stream(stream, "at", "60 days"), f"{shared_dir(spark)}/tidemark/{name}", name, "complete")
+    return out.select(F.unix_seconds("batch_ts").alias("start"), "n_valid", "n_invalid")
+
+
 @query("SELECT event_id AS seq FROM events WHERE event_type = 'error'")
 def stream_filter(spark, sf_dir):
     rows = cut(S.metric_points(table(spark, sf_dir, "events")), "replay")

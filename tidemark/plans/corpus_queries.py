@@ -59,9 +59,9 @@ def hourly_linear_fill(spark, sf_dir):
     return rows.select("user_id", F.posexplode("hours").alias("hour", "v")).select("user_id", big("hour").alias("hour"), r6(F.col("v") + 1e-9).alias("value"))
 
 
-@query(f"{_FILL} SELECT user_id, (h * 60 + m.m)::BIGINT AS minute, h AS hour_of_day, m.m AS minute_of_hour, round(v + 1e-9::DOUBLE, 6) AS hour_anchor FROM filled CROSS JOIN range(60) m(m) WHERE user_id < 20")
+@query(f"{_FILL} SELECT user_id, (h * 60 + m.m)::BIGINT AS minute, h AS hour_of_day, m.m AS minute_of_hour, round(v + 1e-9::DOUBLE, 6) AS hour_anchor FROM filled CROSS JOIN range(60) m(m)")
 def minute_expand(spark, sf_dir):
-    seeds = _daily(table(spark, sf_dir, "events").where("user_id < 20"))
+    seeds = _daily(table(spark, sf_dir, "events"))
     seeds = seeds.select("user_id", F.col("user_id").cast("string").alias("entity_id"), F.lit("m").alias("metric_name"), F.lit("2024-01-01").cast("timestamp").alias("date"), "hourly_values")
     rows = K.minutes(seeds, noise=0.0)
     minute = F.col("hour_of_day") * 60 + F.col("minute_of_hour")

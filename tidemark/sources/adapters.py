@@ -107,3 +107,24 @@ class KinesisClient:
         at = self.client.get_shard_iterator(StreamName=self.stream, ShardId=self.shard, **after)["ShardIterator"]
         records = self.client.get_records(ShardIterator=at, Limit=limit)["Records"]
         return [r["Data"].decode() for r in records], records[-1]["SequenceNumber"] if records else position
+
+
+class PubSubClient:
+    """Messages of a Pub/Sub subscription.
+
+    The service keeps no positions, so a position is the acknowledgements still owed: they are sent when the next poll
+    begins, which is after the batch that holds the messages was planned. Messages that were not acknowledged come again.
+    """
+
+    def __init__(self, options: dict, client=None) -> None:
+        self.client = client or importlib.import_module("google.cloud.pubsub_v1").SubscriberClient()
+        self.path, self.timeout = options["subscription"], float(options.get("timeout", 1.0))
+
+    def start(self) -> list[str]:
+        return []
+
+    def poll(self, position: list[str], limit: int) -> tuple[list[str], list[str]]:
+        if position:
+            self.client.acknowledge(request={"subscription": self.path, "ack_ids": position})
+        found = self.client.pull(request={"subscription": self.path, "max_messages": limit}, timeout=self.timeout).received_messages
+        return [m.message.data.decode("utf-8", "replace") for m in found], [m.ack_id for m in found]

@@ -8,7 +8,7 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -21,9 +21,15 @@ def json_lines(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
 
 
-def kafka(df: DataFrame, servers: str, topic: str) -> None:
-    """Write ``payload`` to a topic; needs Spark's Kafka package on the class path."""
-    df.select(F.col("payload").alias("value")).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+def kafka(df: DataFrame, servers: str, topic: str, format: str = "kafka", **options: str) -> int:
+    """Write ``payload`` to a topic and return how many were delivered; needs Spark's Kafka package on the class path.
+
+    The write returns once the brokers have confirmed every row and fails otherwise, so all are delivered or none counts.
+    """
+    sent = Observation()
+    rows = df.select(F.col("payload").alias("value")).observe(sent, F.count(F.lit(1)).alias("n"))
+    rows.write.format(format).options(**{"kafka.bootstrap.servers": servers, "topic": topic} | options).save()
+    return sent.get["n"]
 
 
 def corpus(df: DataFrame, path: str, summary: DataFrame) -> None:

@@ -18,23 +18,32 @@ SCORED = "bucket string, timestamp timestamp, seq long, value double, n int, bas
 
 def _scorer(method: str, window: int, threshold: float, min_samples: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = np.array(state.get[0] if state.exists else [], float)
         rows = pd.concat(list(frames)).sort_values(["timestamp", "seq"])
-        out = []
-        for r in rows.itertuples():
-            past = np.array(held)
-            mean, std = (past.mean(), past.std() if past.min() < past.max() else 0.0) if held else (0.0, 0.0)
-            cold, z = len(held) < min_samples, 0.0
-            if not cold and method == "zscore":
-                z = (r.value - mean) / std if std > 0 else 0.0
-            elif not cold:
-                mid = float(np.median(past))
-                mad = float(np.median(np.abs(past - mid)))
-                z = C.ROBUST_CONSTANT * (r.value - mid) / mad if mad > 0 else 0.0
-            out.append((key[0], r.timestamp, r.seq, r.value, len(held), mean, std, z, cold, abs(z) > threshold * (1 + 1e-12)))
-            held = [*held, float(r.value)][-window:]
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["bucket", "timestamp", "seq", "value", "n", "baseline_mean", "baseline_std", "z_score", "cold_start", "is_anomaly"])
+        value = rows["value"].to_numpy(float)
+        every = np.concatenate([np.full(window, np.nan), held, value])
+        # What each reading finds: the window before it, filled up with nan where there are fewer.
+        past = np.lib.stride_tricks.sliding_window_view(every[:-1], window)[len(held) :]
+        n = np.minimum(len(held) + np.arange(len(value)), window)
+        some = n > 0
+        mean, std, mid, mad = (np.zeros(len(value)) for _ in range(4))
+        mean[some] = np.nanmean(past[some], axis=1)
+        spread = np.zeros(len(value), bool)
+        spread[some] = np.nanmin(past[some], axis=1) < np.nanmax(past[some], axis=1)
+        std[spread] = np.nanstd(past[spread], axis=1)
+        if method == "zscore":
+            z = np.divide(value - mean, std, out=np.zeros(len(value)), where=std > 0)
+        else:
+            mid[some] = np.nanmedian(past[some], axis=1)
+            mad[some] = np.nanmedian(np.abs(past[some] - mid[some][:, None]), axis=1)
+            z = np.divide(C.ROBUST_CONSTANT * (value - mid), mad, out=np.zeros(len(value)), where=mad > 0)
+        cold = n < min_samples
+        z[cold] = 0.0
+        state.update((every[window:][-window:].tolist(),))
+        yield pd.DataFrame({
+            "bucket": key[0], "timestamp": rows["timestamp"].to_numpy(), "seq": rows["seq"].to_numpy(), "value": value, "n": n, "baseline_mean": mean, "baseline_std": std,
+            "z_score": z, "cold_start": cold, "is_anomaly": np.abs(z) > threshold * (1 + 1e-12),
+        })
 
     return run
 
