@@ -55,14 +55,13 @@ def mmd_null(past: DataFrame, key: str = "entity_id", cap: int = 200, pairs: int
     An entity of fewer than four has no null.
     """
     last = Window.partitionBy(key).orderBy(F.desc("id"))
-    rows = past.withColumn("__n", F.row_number().over(last)).where(F.col("__n") <= 2 * cap).select(key, "id", "embedding")
+    rows = past.withColumns({"__n": F.row_number().over(last), "__all": F.count(F.lit(1)).over(Window.partitionBy(key))})
+    rows = rows.where((F.col("__n") <= 2 * cap) & (F.col("__all") >= 4)).select(key, "id", "embedding")
 
     def draws(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
         x = np.array(group["embedding"].tolist(), float)
         n, half = len(x), len(x) // 2
-        if half < 2:
-            return pd.DataFrame({key: [], "draw": [], "mmd2": []})
         d = np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T)
         sigma = np.median(np.sqrt(d[np.triu_indices(n, 1)])) / np.sqrt(2)
         kernel = np.exp(-d / (2 * sigma * sigma)) if sigma > 0 else np.ones_like(d)

@@ -28,7 +28,7 @@ def kafka(df: DataFrame, servers: str, topic: str, format: str = "kafka", **opti
     """
     sent = Observation()
     rows = df.select(F.col("payload").alias("value")).observe(sent, F.count(F.lit(1)).alias("n"))
-    rows.write.format(format).options(**{"kafka.bootstrap.servers": servers, "topic": topic} | options).save()
+    rows.write.format(format).mode("append").options(**{"kafka.bootstrap.servers": servers, "topic": topic} | options).save()
     return sent.get["n"]
 
 
