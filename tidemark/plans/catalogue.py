@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import alert_queries, baseline_queries, corpus_queries, feature_queries, ingest_queries, vector_queries  # noqa: F401
+from tidemark.plans import alert_queries, baseline_queries, corpus_queries, feature_queries, ingest_queries, source_queries, vector_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 
