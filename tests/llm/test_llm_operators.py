@@ -172,7 +172,8 @@ def test_secret_scan(stored, rows, none):
 
 
 def test_copied_secrets_are_not_added(spark):
-    live, shared = "Zx9Kq0LmN8pQr7StU6vWx5Yz4", "Ab3Ab3Cd4Cd4Ef5Ef5Gh6Gh6Ij7"
+    """The shared value has the shape and the entropy of a live one; only its owners tell."""
+    live, shared = "Zx9Kq0LmN8pQr7StU6vWx5Yz4", "Ab3Bc4Cd5De6Ef7Fg8Gh9Hi0Ij1"
     docs = spark.createDataFrame([(1, live, "s1"), *((i, f"see {shared}", f"s{i}") for i in range(2, 8))], "doc_id long, text string, source string")
     spans = {r["doc_id"]: r["spans"] for r in secret_scan.digest(secret_scan.scan(docs)).collect()}
     assert spans == {1: "opaque:0:25"} | dict.fromkeys(range(2, 8), "")
@@ -298,6 +299,37 @@ def test_filters_return_all_languages_of_an_ngram():
         assert ((found >> np.uint64(k % 64)) & np.uint64(1)).all()
 
 
+def plain_language(text: str | None, filters: language_id.Filters) -> tuple[str, float]:
+    """One prediction, letter by letter and language by language."""
+    low, mask = (text or "").lower(), (1 << 64) - 1
+    letter = lambda i: ord(low[i]) if 0 <= i < len(low) and low[i].isalpha() else 0
+    hits, n = [0] * len(filters.languages), 0
+    for i in range(len(low)):
+        if not letter(i):
+            continue
+        h = (letter(i - 1) * 0x9E3779B97F4A7C15 & mask) ^ (letter(i) * 0xC2B2AE3D27D4EB4F & mask) ^ (letter(i + 1) * 0x165667B19E3779F9 & mask)
+        h = int(W.mix(np.array([h], np.uint64))[0])
+        places = [(h >> 20 * j) & (language_id.SLOTS - 1) for j in range(language_id.PROBES)]
+        for k in range(len(hits)):
+            hits[k] += all((int(filters.masks[k // 64, at]) >> (k % 64)) & 1 for at in places)
+        n += 1
+    left = [max(0.0, (x - n * c) / (1 - c)) for x, c in zip(hits, filters.chance, strict=True)]
+    if not n:
+        return "und", 0.0
+    return filters.languages[left.index(max(left))], max(left) / sum(left) if sum(left) else 0.0
+
+
+def test_language_id_against_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    filters = language_id.learn(docs.where(language_id.remainder() != 0))
+    docs = docs.where("length(text) < 3000").select("doc_id", "text", F.lit(7).alias("held_out"), F.lit("own").alias("lang_pred"))
+    out = language_id.identify(docs, filters).collect()
+    assert len(out) > 100 and all(r["held_out"] == 7 for r in out)
+    for r in out:
+        lang, score = plain_language(r["text"], filters)
+        assert (r["lang_pred"], r["score"]) == (lang, pytest.approx(score, abs=1e-9))
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     filters = language_id.learn(docs.where(language_id.remainder() != 0))
