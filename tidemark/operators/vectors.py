@@ -16,6 +16,7 @@ from tidemark.functions.guards import require_columns, require_positive
 from tidemark.functions.scratch import cut
 
 BROADCAST_QUERIES = 4096
+TRAIN_MOST = 1_000_000  # vectors that cell centres are learned from
 
 
 def unpivoted(vectors: DataFrame, keep: list[str], column: str = "embedding") -> DataFrame:
@@ -154,13 +155,13 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = C.TOP_K, exclude_own
 
 
 def train_cells(corpus: DataFrame, cells: int = C.N_LIST, seed: int = 42) -> list[np.ndarray]:
-    """Cell centres by k-means on a seeded sample: 39 vectors a cell or a tenth of all, at most all."""
+    """Cell centres by k-means on a seeded sample: 39 vectors a cell or a tenth of all, ``TRAIN_MOST`` at most."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = corpus.count()
     cells = X.cells_for(n, cells)
-    wanted = min(n, max(39 * cells, n // 10))
+    wanted = min(n, max(39 * cells, min(n // 10, TRAIN_MOST)))
     sample = corpus.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(wanted).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     return [np.asarray(c) for c in KMeans(k=cells, seed=seed).fit(sample).clusterCenters()]
 
