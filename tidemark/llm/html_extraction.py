@@ -2,13 +2,14 @@
 
 A page is read into a tree with the usual tolerance: omitted end tags are implied, stray ones ignored. Elements that
 are no content (scripts, styles, navigation, and by role, class or id menus, sidebars, adverts and reader comments) are
-cut off, page headers and footers too. Forms, and elements whose class only hints (notices, promotions, headers and the
-like), are cut off unless they hold more than half of the page's points. Every paragraph, that is every block with text
-of its own, passes points to its ancestors: one, one a comma, and one a hundred characters; its parent gets all, its
-grandparent half, the next a third. An element's points are discounted by its link density, the part of its text in
-links. The element with most points is the container; if it lies in an ``article``, that is taken instead, with the
-other articles beside it that have a fifth of its points. Siblings of a container are kept with it if they have a fifth
-of its points, are long paragraphs of few links, or are a heading before it.
+cut off, page headers and footers too. Elements whose class only hints (notices, promotions, headers and the like) are
+cut off unless they hold more than half of the page's points, forms unless they hold nine tenths of all text. Every
+paragraph, that is every block with text of its own, passes points to its ancestors: one, one a comma, and one a hundred
+characters; its parent gets all, its grandparent half, the next a third. What a paragraph passes and what an element has
+are discounted by its link density, the part of its text in links. The element with most points is the container; if it
+lies in an ``article``, that is taken instead, with the other articles beside it that have a fifth of its points. Siblings
+of a container are kept with it if they have a fifth of its points, are long paragraphs of few links, or are a heading
+before it.
 
 Character references are decoded in each piece of text by itself, white space in a block becomes one space, and blocks
 are joined in page order by a line feed. If the rules on classes leave nothing, they are dropped for that page.
@@ -163,21 +164,28 @@ def _own_text(node: Node) -> str:
 
 
 def _judge(nodes: list[Node]) -> None:
-    """Make hinted elements junk, but for those that hold more than half of the page's points."""
+    """Make hinted elements junk, but for those that hold more than half of the page's points, and forms that hold nearly all.
+
+    Points of forms count what else was cut off as well, as a form around a page holds its menus too.
+    """
     if not any(n.hinted for n in nodes):
         return
-    points, filled, block_of = dict.fromkeys(map(id, nodes), 0.0), set(), {}
+    points, whole, filled, block_of = dict.fromkeys(map(id, nodes), 0.0), dict.fromkeys(map(id, nodes), 0.0), set(), {}
     for n in nodes:
         block = block_of[id(n)] = n if n.tag not in INLINE or n.parent is None else block_of[id(n.parent)]
-        if not n.junk and (own := _own_text(n)).strip():
-            points[id(n)] += own.count(",") + len(own) / 100 + (id(block) not in filled)
+        if n.tag not in RAW and (own := _own_text(n)).strip():
+            mine = own.count(",") + len(own) / 100 + (id(block) not in filled)
             filled.add(id(block))
-    total = sum(points.values())
+            whole[id(n)] += mine
+            points[id(n)] += 0 if n.junk else mine
+    all_points, all_whole = sum(points.values()), sum(whole.values())
     for n in reversed(nodes):
         if n.parent is not None:
             points[id(n.parent)] += points[id(n)]
+            whole[id(n.parent)] += whole[id(n)]
     for n in nodes:
-        n.junk = n.junk or n.parent is not None and n.parent.junk or n.hinted and 2 * points[id(n)] <= total
+        spared = whole[id(n)] > 0.9 * all_whole if n.tag == "form" else points[id(n)] > 0.5 * all_points
+        n.junk = n.junk or n.parent is not None and n.parent.junk or n.hinted and not spared
 
 
 def _score(nodes: list[Node]) -> None:
@@ -201,7 +209,7 @@ def _score(nodes: list[Node]) -> None:
     for n in nodes:
         if id(n) in text_of:
             text = " ".join(text_of[id(n)])
-            points, share = 1 + text.count(",") + len(text) / 100, 1
+            points, share = (1 + text.count(",") + len(text) / 100) * (1 - _density(n)), 1
             up = n.parent or n
             while up is not None and share <= 3:
                 up.points += points / share
