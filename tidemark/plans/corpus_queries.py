@@ -161,7 +161,14 @@ def synthetic_corpus(spark, sf_dir):
     return K.build(seeds, S.synthetic_anchors(seeds))
 
 
-@query()
+_KINDS = ", ".join(f"('{cloud}', '{metric}')" for _, cloud, _, metric, _, _ in C.ARCHETYPES)
+
+
+@query(f"""
+WITH k(cloud, metric_name) AS (VALUES {_KINDS})
+SELECT 'synthetic-' || lower(cloud) || '-' || replace(lower(metric_name), ' ', '_') || '-' || lpad(i::VARCHAR, 4, '0') AS entity_id, cloud, metric_name, epoch(TIMESTAMP '2024-01-01')::BIGINT + 86400 * d AS day,
+  'synth-account-' || lpad((i % 5)::VARCHAR, 2, '0') AS account_id, CASE WHEN contains(metric_name, 'Bytes') OR contains(metric_name, 'Network') THEN 'Bytes' ELSE 'Percent' END AS unit, 24::BIGINT AS hours
+FROM k, range(10) i(i), range(7) d(d)""")
 def synthetic_seed_rows(spark, sf_dir):
     seeds = S.synthetic_seeds(spark, "2024-01-01", "2024-01-07", resources=90)
-    return seeds.select("entity_id", "cloud", "metric_name", "date", "account_id", "unit", F.size("hourly_values").alias("hours"))
+    return seeds.select("entity_id", "cloud", "metric_name", F.unix_seconds("date").alias("day"), "account_id", "unit", big(F.size("hourly_values")).alias("hours"))
