@@ -73,6 +73,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_substring_dedup": substring_dedup.oracle(), "op4_decontaminate": decontaminate.oracle(), "op6_quality_rules": quality_rules.oracle(),
+        "op1_substring_dedup": substring_dedup.oracle(), "op4_decontaminate": decontaminate.oracle(), "op5_secret_scan": secret_scan.oracle(), "op6_quality_rules": quality_rules.oracle(),
         "op8_mixing": mixing.oracle(), "op9_line_dedup": line_dedup.oracle(), "op10_near_dedup": near_dedup.oracle(),
     }

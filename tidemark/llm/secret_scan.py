@@ -100,3 +100,41 @@ def digest(scanned: DataFrame) -> DataFrame:
         "doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
         count(lambda s: s["class"] == "live").alias("n_live"), count(lambda s: s["class"] == "shared").alias("n_shared"),
     )
+
+
+def oracle(shared_owners: int = 3, shared_repos: int = 50, entropy: float = 3.0) -> str:
+    """DuckDB SQL for :func:`digest`, for tables whose ids differ.
+
+    Its patterns have no look-around: an opaque candidate is a whole run of token characters that is long and has a digit.
+    """
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    kinds = {**PATTERNS, "opaque": "[A-Za-z0-9+/_-]+={0,2}"}
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, source, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(text, {quoted(p)}) AS whole, regexp_extract_all(text, {quoted(p)}, {2 if kind == 'assign' else 0}) AS secret, "
+        f"string_split_regex(text, {quoted(p)}) AS gaps FROM texts" for rank, (kind, p) in enumerate(kinds.items())
+    )
+    least = "CASE kind WHEN 'assign' THEN 6 WHEN 'access' THEN 20 ELSE 24 END"
+    joined = "string_agg(kind || ':' || start::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY start, rank)"
+    return rf"""
+    WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+    found AS ({found}),
+    raw AS (SELECT doc_id, source, kind, rank, unnest(whole) AS whole, unnest(secret) AS secret, unnest(gaps[1 : len(whole)]) AS gap, generate_subscripts(whole, 1) AS nth FROM found WHERE len(whole) > 0),
+    placed AS (SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id, kind ORDER BY nth)::BIGINT AS stop FROM raw),
+    hits AS (
+      SELECT doc_id, source, kind, rank, secret, stop - length(whole) AS start, stop FROM placed
+      WHERE length(secret) >= {least} AND (kind <> 'opaque' OR length(rtrim(whole, '=')) >= 24 AND regexp_matches(whole, '[0-9]') AND regexp_matches(whole, '[a-z]') AND regexp_matches(whole, '[A-Z]'))),
+    owners AS (SELECT secret, count(DISTINCT source) >= {shared_owners} OR count(DISTINCT doc_id) >= {shared_repos} AS shared FROM hits GROUP BY secret),
+    letters AS (SELECT secret, c, count(*)::DOUBLE / length(secret) AS part FROM (SELECT secret, unnest(string_split(secret, '')) AS c FROM owners) GROUP BY secret, c),
+    bits AS (SELECT secret, -sum(part * log2(part)) AS entropy FROM letters GROUP BY secret),
+    classed AS (
+      SELECT h.*, CASE WHEN shared THEN 'shared' WHEN entropy >= {entropy} THEN 'live' ELSE 'weak' END AS class
+      FROM hits h JOIN owners o ON o.secret = h.secret JOIN bits b ON b.secret = h.secret),
+    kept AS (
+      SELECT * FROM classed c WHERE kind <> 'opaque' OR class = 'live' AND NOT EXISTS (
+        SELECT 1 FROM classed b WHERE b.doc_id = c.doc_id AND b.kind <> 'opaque' AND b.start < c.stop AND c.start < b.stop)),
+    totals AS (
+      SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in PATTERNS)}, count(*) FILTER (class = 'live') AS n_live, count(*) FILTER (class = 'shared') AS n_shared,
+             {joined} FILTER (kind <> 'opaque') AS base, {joined} AS spans FROM kept GROUP BY doc_id)
+    SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in PATTERNS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+           coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_shared, 0)::BIGINT AS n_shared
+    FROM documents d LEFT JOIN totals t ON t.doc_id = d.doc_id"""
