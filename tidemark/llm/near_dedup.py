@@ -14,8 +14,9 @@ pairing all their members. First every bucket compares its members with one of t
 component need no more comparing; nodes of buckets that still hold several components go to an exact set join by
 prefix filtering. Shingles are ordered by rarity there, and two sets as similar as asked must share one of their
 rarest 1 - threshold parts. A large group of loose copies has its many own shingles in these parts and so few pairs,
-and no link that could join two components is left out. Rarity is read from a sketch of ``SLOTS`` counters: any order
-that all agree on is right, so the sketch's errors cost time only. Classes are the connected components.
+and no link that could join two components is left out. Rarity is read from a sketch whose counters follow the number
+of sets, within ``SLOTS``: any order that all agree on is right, so the sketch's errors cost time only. Classes are the
+connected components.
 
 Texts of fewer than five words have one shingle, the whole text. Null texts and texts without words are in a class of
 their own. Repeated rows are in one class. Further columns are ignored.
@@ -38,7 +39,7 @@ from tidemark.llm import words as W
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-SLOTS = 1 << 17
+SLOTS = (1 << 17, 1 << 21)  # counters of the rarity sketch, least and most; 64 a set between
 BITS = 52  # of a shingle's hash; the others number the rows of a block
 MASKS = 8
 MASK_NAMES = [f"m{i}" for i in range(MASKS)]
@@ -155,13 +156,16 @@ def _split_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
     return cut(rows.join(several, "bucket").select("bucket", "node", "label", (F.col("label") == F.col("main")).alias("is_main")), "open")
 
 
-def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, table = np.zeros(SLOTS, np.int64), W.space_table()
-    for b in batches:
-        for block in _blocks(b.column("text"), table):
-            total += np.bincount((shingle_sets(block, SHINGLE)[1] % W.U(SLOTS)).astype(np.int64), minlength=SLOTS)
-    some = np.flatnonzero(total)
-    yield W.batch({"slot": (some.astype(np.int32), pa.int32()), "c": (total[some], pa.int64())})
+def _rarity(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, table = np.zeros(slots, np.int64), W.space_table()
+        for b in batches:
+            for block in _blocks(b.column("text"), table):
+                total += np.bincount((shingle_sets(block, SHINGLE)[1] % W.U(slots)).astype(np.int64), minlength=slots)
+        some = np.flatnonzero(total)
+        yield W.batch({"slot": (some.astype(np.int32), pa.int32()), "c": (total[some], pa.int64())})
+
+    return run
 
 
 def _prefixes(sent, threshold: float):
@@ -175,7 +179,7 @@ def _prefixes(sent, threshold: float):
         for b in batches:
             for block in _blocks(b.column("text"), table):
                 row, shingle, _ = shingle_sets(block, SHINGLE)
-                order = np.lexsort((shingle, counts[(shingle % W.U(SLOTS)).astype(np.int64)], row))
+                order = np.lexsort((shingle, counts[(shingle % W.U(len(counts))).astype(np.int64)], row))
                 shingle = shingle[order]
                 n = np.bincount(row, minlength=block.rows)
                 place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
@@ -195,8 +199,9 @@ def _prefix_pairs(open_buckets: DataFrame, texts: DataFrame, threshold: float) -
     """Pairs of different components that share a prefix shingle and may be similar enough by size, place and masks."""
     nodes = open_buckets.groupBy("node", "label").agg(F.min("is_main").alias("only_main"))
     sets = cut(texts.join(nodes, "node"), "sets")
-    rarity = sets.select("text").mapInArrow(_rarity, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # SLOTS rows at most
-    counts = np.zeros(SLOTS, np.int64)
+    slots = min(SLOTS[1], max(SLOTS[0], 1 << (64 * sets.count()).bit_length()))
+    rarity = sets.select("text").mapInArrow(_rarity(slots), "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # a row a counter at most
+    counts = np.zeros(slots, np.int64)
     counts[rarity["slot"].to_numpy()] = rarity["c"].to_numpy()
     sent = sets.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
     tokens = cut(sets.mapInArrow(_prefixes(sent, threshold), "token long, node long, label long, only_main boolean, n int, place int, " + ", ".join(f"{m} long" for m in MASK_NAMES)), "prefixes")
