@@ -223,3 +223,23 @@ def test_default_probe_finds_nine_tenths(spark):
     exact = {tuple(r) for r in V.nearest(queries, rows).select("query_id", "vec_id").collect()}
     share = lambda found: len(exact & {tuple(r) for r in found.select("query_id", "vec_id").collect()}) / len(exact)
     assert share(V.nearest_in_cells(queries, indexed, centres, probe=20)) < 0.9 <= share(V.nearest_in_cells(queries, indexed, centres))
+
+
+def test_search_holds_no_queries_on_the_driver_and_ranks_copies_by_id(spark):
+    """However many blocks there are, the plan is the same; of a group of copies larger than a part's best the least ids are found."""
+    draw = np.random.default_rng(1)
+    vecs = draw.standard_normal((60, 8))[np.arange(3000) % 60]
+    rows = spark.createDataFrame([(i, f"vm-{i % 7}", [float(x) for x in v]) for i, v in zip(draw.permutation(3000).tolist(), vecs)], "vec_id long, entity_id string, embedding array<double>")
+    queries, table = rows.where("vec_id % 50 = 0"), rows.toPandas()
+    plans = [V.nearest(queries, rows, block=b)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for b in (4096, 1)]
+    assert plans == [1, 1]
+    matrix = np.stack(table["embedding"])
+    for exclude in (False, True):
+        got = V.nearest(queries, rows, k=5, exclude_own=exclude, block=4).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("r")).collect()
+        assert len(got) == 60
+        for r in got:
+            asked = table[table["vec_id"] == r["query_id"]].iloc[0]
+            d = ((matrix - asked["embedding"]) ** 2).sum(1)
+            if exclude:
+                d[table["entity_id"] == asked["entity_id"]] = np.inf
+            assert [x["vec_id"] for x in r["r"]] == table["vec_id"].to_numpy()[np.lexsort((table["vec_id"], d))[:5]].tolist()

@@ -16,6 +16,8 @@ from tidemark.functions.guards import require_columns, require_positive
 from tidemark.functions.scratch import cut
 
 BROADCAST_QUERIES = 4096
+PART = 16_384  # vectors of the corpus that a search holds at a time
+ROUGH = 1 << 20  # numbers of a product of queries and a part
 TRAIN_MOST = 1_000_000  # vectors that cell centres are learned from
 
 
@@ -87,71 +89,130 @@ def ema_update(prior: DataFrame, new: DataFrame, key: str = "entity_id", order:
     return rows.select(key, X.normalised(F.col("__s.c")).alias("centroid"), ((spread > 0) & (far > stds * spread)).alias("drift_alarm"), far.alias("max_distance"))
 
 
-def _matrix(b: pa.RecordBatch, width: int) -> np.ndarray:
+def _matrix(b: pa.RecordBatch, width: int | None = None) -> np.ndarray:
     values = np.asarray(b.column("embedding").flatten(), dtype=np.float64)
+    width = len(values) // b.num_rows if width is None else width
     if len(values) != width * b.num_rows:
         raise ValueError(f"expected vectors of width {width}, got {len(values)} numbers in {b.num_rows} rows")
     return values.reshape(b.num_rows, width)
 
 
-def _topk(queries: list[tuple], matrix: np.ndarray, owners: np.ndarray, k: int, exclude: bool):
-    """Best k of each Arrow batch for every query, by one matrix product a batch."""
+class _Part:
+    """A part of the corpus, ready for blocks of queries. Of equal vectors of an owner only the k least ids can be among the k best."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, owners: np.ndarray, k: int) -> None:
+        self.k, self.codes = k, {o: i for i, o in enumerate(dict.fromkeys(owners.tolist()))}
+        who = np.array([self.codes[o] for o in owners.tolist()], np.int32)
+        order = np.argsort(ids, kind="stable")
+        keys = np.column_stack([vectors[order], who[order]])  # by bytes, which only tells more vectors apart
+        same = np.unique(keys.view(np.dtype((np.void, keys.shape[1] * 8))).ravel(), return_inverse=True)[1]
+        by = np.argsort(same, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(same[by]) > 0])
+        nth = np.arange(len(by)) - np.repeat(first, np.diff(np.r_[first, len(by)]))
+        keep = order[np.sort(by[nth < k])]
+        self.vectors, self.ids, self.who = vectors[keep], ids[keep], who[keep]
+        with np.errstate(invalid="ignore", over="ignore"):
+            self.squares = (self.vectors**2).sum(1)
+        self.finite, self.most = bool(np.isfinite(self.squares).all()), float(np.max(self.squares, where=np.isfinite(self.squares), initial=0))
+
+    def best(self, queries: np.ndarray, owners: np.ndarray, exclude: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the queries, ids and squared distances: the k best of each query by distance, then id.
+
+        The k-th least of minima over columns is no less than the k-th least number, so what is above it is left out;
+        the rest, more if numbers are as good as equal, is measured again without the product's loss of digits near 0.
+        """
+        n, k = len(self.ids), self.k
+        squares = (queries**2).sum(1)
+        rough = queries @ self.vectors.T
+        rough *= -2
+        rough += self.squares
+        rough += squares[:, None]
+        if not (self.finite and np.isfinite(squares).all()):
+            rough = np.nan_to_num(rough, nan=np.finfo(float).max, posinf=np.finfo(float).max, neginf=np.finfo(float).max)  # these rank last
+        if exclude:
+            rough[np.array([self.codes.get(o, -1) for o in owners.tolist()])[:, None] == self.who] = np.inf
+        bound = np.full(len(queries), np.finfo(float).max)
+        if n > k:
+            high = min(64, n // k)
+            least = rough[:, : n // high * high].reshape(len(queries), high, -1).min(1)
+            slack = 4 * (queries.shape[1] + 2) * np.finfo(float).eps * (np.where(np.isfinite(squares), squares, 0) + self.most)
+            bound = np.minimum(bound, np.partition(least, k - 1, axis=1)[:, k - 1] + slack)
+        q, c = np.divmod(np.flatnonzero(rough <= bound[:, None]), n)
+        exact = np.concatenate([((queries[q[i : i + 65536]] - self.vectors[c[i : i + 65536]]) ** 2).sum(1) for i in range(0, len(q), 65536)] or [np.empty(0)])
+        order = np.lexsort((self.ids[c], exact, q))
+        q = q[order]
+        order, q = (x[np.arange(len(q)) - np.searchsorted(q, q) < k] for x in (order, q))
+        return q, self.ids[c[order]], exact[order]
+
+
+def _search(k: int, exclude: bool, block: int):
+    """Rows come sorted by part, the corpus before the queries: the k best of a part for each query, by products of blocks of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.array([q[0] for q in queries])
+        at, width, held, part, out, n = None, None, [], None, [], 0
+        packed = lambda out: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_id", "vec_id", "distance"])
         for b in batches:
             if not b.num_rows:
                 continue
-            corpus = _matrix(b, matrix.shape[1])
-            vec = b.column("vec_id").to_numpy()
-            who = np.array(b.column("entity_id").to_pylist(), object)
-            out_q, out_v, out_d = [], [], []
-            for lo in range(0, len(ids), 256):
-                part = matrix[lo : lo + 256]
-                rough = (part**2).sum(1)[:, None] + (corpus**2).sum(1)[None, :] - 2 * part @ corpus.T
-                if exclude:
-                    rough[owners[lo : lo + 256][:, None] == who[None, :]] = np.inf
-                n = min(k + 8, b.num_rows)
-                best = np.argpartition(rough, n - 1, axis=1)[:, :n]
-                for i in range(len(part)):
-                    at = best[i][np.isfinite(rough[i][best[i]])]
-                    exact = ((part[i] - corpus[at]) ** 2).sum(1)  # the product loses digits near 0
-                    keep = np.lexsort((vec[at], exact))[:k]
-                    out_q += [ids[lo + i]] * len(keep)
-                    out_v += vec[at][keep].tolist()
-                    out_d += exact[keep].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_d, pa.float64())], names=["query_id", "vec_id", "distance"])
+            place, asks = b.column("part").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            ends = [*(np.flatnonzero((np.diff(place) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip([0, *ends[:-1]], ends):
+                rows = b.slice(lo, hi - lo)
+                vectors, ids, owners = _matrix(rows, width), rows.column("id").to_numpy(), np.array(rows.column("entity_id").to_pylist(), object)
+                width = vectors.shape[1]
+                if place[lo] != at:
+                    at, held, part = place[lo], [], None
+                if not asks[lo]:
+                    held.append((vectors, ids, owners))
+                    continue
+                if part is None:
+                    if not held:
+                        continue
+                    part, held = _Part(*map(np.concatenate, zip(*held)), k), []
+                for first in range(0, len(ids), block):
+                    step = max(1, min(block, ROUGH // len(part.ids)))
+                    for i in range(first, min(first + block, len(ids)), step):
+                        own = slice(i, min(i + step, first + block))
+                        q, found, distance = part.best(vectors[own], owners[own], exclude)
+                        out.append((ids[own][q], found, distance))
+                        n += len(q)
+                        if n >= 10_000:
+                            yield packed(out)
+                            out, n = [], 0
+        if out:
+            yield packed(out)
 
     return run
 
 
+def _met(corpus: DataFrame, queries: DataFrame, parts: int, k: int, exclude: bool, block: int) -> DataFrame:
+    """(query_id, rank, vec_id, distance, similarity) of a corpus and queries (part, id, entity_id, embedding) that meet by part."""
+    rows = corpus.withColumn("asks", F.lit(False)).unionByName(queries.withColumn("asks", F.lit(True)))
+    dealt = rows.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "asks")
+    found = dealt.select("part", "asks", "id", "entity_id", "embedding").mapInArrow(_search(k, exclude, block), "query_id long, vec_id long, distance double")
+    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("similarity", X.cosine_from_squared(F.col("distance")))
+
+
+def _largest(spark, n: int) -> int:
+    """Vectors of a part: ``PART`` at most, fewer where all cores would not have two parts."""
+    return max(1, min(PART, max(1024, n // (2 * spark.sparkContext.defaultParallelism))))
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = C.TOP_K, exclude_own: bool = False, block: int = BROADCAST_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, distance, similarity): exact k nearest by squared distance, ties by vec_id.
 
-    The queries are the stated set. They are sent in blocks of ``block`` vectors; each Arrow batch of the corpus keeps
-    its k best of each query, and a window ranks what is left. Own-entity vectors are left out before ranking, so k
-    are found whenever there are k.
+    The queries are the stated set. The corpus is dealt into parts of ``PART`` vectors at most, every part gets all queries
+    through a shuffle and passes them in blocks of ``block`` vectors, and a window ranks the k best of each part. So
+    nothing of the queries or the corpus is on the driver, and a task holds one part and one block. Own-entity vectors
+    are left out before ranking, so k are found whenever there are k.
     """
     require_positive(k=k, block=block)
-    spark, found = corpus.sparkSession, None
-    rows: list[tuple] = []
-
-    def meet() -> DataFrame:
-        matrix = np.array([r[1] for r in rows], np.float64)
-        owners = np.array([r[2] for r in rows], object)
-        search = _topk([(r[0],) for r in rows], matrix, owners, k, exclude_own)
-        return corpus.select("vec_id", "entity_id", "embedding").mapInArrow(search, "query_id long, vec_id long, distance double")
-
-    for r in queries.select(F.col("vec_id").alias("query_id"), "embedding", "entity_id").toLocalIterator():
-        rows.append(tuple(r))
-        if len(rows) == block:
-            found = meet() if found is None else found.unionByName(meet())
-            rows = []
-    if rows or found is None:
-        more = meet() if rows else spark.createDataFrame([], "query_id long, vec_id long, distance double")
-        found = more if found is None else found.unionByName(more)
-    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("similarity", X.cosine_from_squared(F.col("distance")))
+    n = corpus.count()
+    parts = max(1, -(-n // _largest(corpus.sparkSession, n)))
+    dealt = corpus.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.col("vec_id").alias("id"), "entity_id", "embedding")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("vec_id").alias("id"), "entity_id", "embedding")
+    return _met(dealt, asked, parts, k, exclude_own, block)
 
 
 def train_cells(corpus: DataFrame, cells: int = C.N_LIST, seed: int = 42) -> list[np.ndarray]:
