@@ -243,3 +243,26 @@ def test_search_holds_no_queries_on_the_driver_and_ranks_copies_by_id(spark):
             if exclude:
                 d[table["entity_id"] == asked["entity_id"]] = np.inf
             assert [x["vec_id"] for x in r["r"]] == table["vec_id"].to_numpy()[np.lexsort((table["vec_id"], d))[:5]].tolist()
+
+
+def test_cells_are_searched_in_parts_and_not_by_a_join_of_pairs(spark, monkeypatch):
+    """A cell larger than a part is several of them; within the probed cells the search is exact; empty cells do no harm."""
+    monkeypatch.setattr(V, "PART", 64)
+    draw = np.random.default_rng(2)
+    vecs = draw.standard_normal((1200, 8))
+    vecs[600:900] = vecs[0]  # a hot vector and so a hot cell
+    rows = spark.createDataFrame([(i, "a", [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id long, entity_id string, embedding array<double>")
+    centres = [*vecs[:6], np.full(8, 50.0)]
+    near = np.argsort(((vecs[:, None] - np.array(centres)[None]) ** 2).sum(2), axis=1, kind="stable")
+    indexed = V.assign_cells(rows, centres).withColumn("cell", F.element_at("cells", 1)).drop("cells").persist()
+    for probe in (2, 7):
+        found = V.nearest_in_cells(rows.where("vec_id % 50 = 0"), indexed, centres, k=5, probe=probe)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["distance"]) for r in found.collect()}
+        assert len(got) == 24 * 5
+        for q in range(0, 1200, 50):
+            d = ((vecs - vecs[q]) ** 2).sum(1)
+            d[~np.isin(near[:, 0], near[q, :probe])] = np.inf
+            best = np.lexsort((np.arange(1200), d))[:5]
+            assert [got[q, i + 1][0] for i in range(5)] == best.tolist() and np.allclose([got[q, i + 1][1] for i in range(5)], d[best])
+    indexed.unpersist()

@@ -237,7 +237,7 @@ def assign_cells(vectors: DataFrame, centres: list[np.ndarray], probe: int = 1)
         for b in batches:
             v = _matrix(b, matrix.shape[1])
             d = (v**2).sum(1)[:, None] + (matrix**2).sum(1)[None] - 2 * v @ matrix.T
-            near = np.argsort(d, axis=1, kind="stable")[:, :probe].astype(np.int32)
+            near = (d.argmin(1)[:, None] if probe == 1 else np.argsort(d, axis=1, kind="stable")[:, :probe]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(near), pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
@@ -272,16 +272,20 @@ def probe_for(queries: DataFrame, indexed: DataFrame, centres: list[np.ndarray],
 
 
 def nearest_in_cells(queries: DataFrame, indexed: DataFrame, centres: list[np.ndarray], k: int = C.TOP_K, probe: int | None = None) -> DataFrame:
-    """As :func:`nearest`, but among the vectors of each query's ``probe`` nearest cells: an equi-join on the cell.
+    """As :func:`nearest`, but among the vectors of each query's ``probe`` nearest cells; large cells are several parts.
 
     Without ``probe`` it is measured, see :func:`probe_for`.
     """
     probe = probe_for(queries, indexed, centres, k) if probe is None else probe
-    asked = assign_cells(queries.select("vec_id", "embedding"), centres, min(probe, len(centres)))
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
-    near = indexed.join(asked, "cell").select("query_id", "vec_id", X.squared_distance(F.col("q"), F.col("embedding")).alias("distance"))
-    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("similarity", X.cosine_from_squared(F.col("distance")))
+    sizes = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}  # a row a cell
+    largest = _largest(indexed.sparkSession, sum(sizes.values()))
+    counts = [-(-sizes.get(i, 0) // largest) for i in range(len(centres))]
+    first, count = (F.element_at(F.lit(x), F.col("cell") + 1) for x in (np.cumsum([0, *counts[:-1]]).tolist(), counts))
+    owner = F.lit(None).cast("string").alias("entity_id")
+    dealt = indexed.select((first + F.pmod(F.xxhash64("vec_id"), count)).cast("int").alias("part"), F.col("vec_id").alias("id"), owner, "embedding")
+    asked = assign_cells(queries.select("vec_id", "embedding"), centres, min(probe, len(centres))).withColumn("cell", F.explode("cells")).where(count > 0)
+    asked = asked.select(F.explode(F.sequence(first, first + count - 1)).alias("part"), F.col("vec_id").alias("id"), owner, "embedding")
+    return _met(dealt, asked, max(1, sum(counts)), k, False, BROADCAST_QUERIES)
 
 
 class SearchCache:
