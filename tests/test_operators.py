@@ -266,3 +266,11 @@ def test_cells_are_searched_in_parts_and_not_by_a_join_of_pairs(spark, monkeypat
             best = np.lexsort((np.arange(1200), d))[:5]
             assert [got[q, i + 1][0] for i in range(5)] == best.tolist() and np.allclose([got[q, i + 1][1] for i in range(5)], d[best])
     indexed.unpersist()
+
+
+def test_index_has_a_file_or_a_few_for_each_cell(spark, tmp_path):
+    """Not one for each cell and task: opening those took longer than reading them."""
+    rows, v = unit_vectors(spark, n=400)
+    V.build_index(rows.repartition(8), str(tmp_path), list(v[:10]))
+    assert len(list((tmp_path / "vectors").rglob("*.parquet"))) <= 20
+    assert spark.read.parquet(f"{tmp_path}/vectors").count() == 400

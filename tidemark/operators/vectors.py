@@ -245,12 +245,13 @@ def assign_cells(vectors: DataFrame, centres: list[np.ndarray], probe: int = 1)
 
 
 def build_index(corpus: DataFrame, path: str, centres: list[np.ndarray], mode: str = "overwrite") -> None:
-    """Write vectors by cell, and the centres beside them; another call with mode append adds vectors.
+    """Write vectors by cell, a file or a few each, and the centres beside them; another call with mode append adds vectors.
 
     Vectors need an id and an entity, and the width of the centres; an index without centres takes none.
     """
     spark = require_columns(corpus, ["vec_id", "entity_id", "embedding"]).sparkSession
-    assign_cells(corpus, centres).withColumn("cell", F.element_at("cells", 1)).drop("cells").write.mode(mode).partitionBy("cell").parquet(f"{path}/vectors")
+    placed = assign_cells(corpus, centres).withColumn("cell", F.element_at("cells", 1)).drop("cells")
+    placed.hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(f"{path}/vectors")
     spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
 
 
