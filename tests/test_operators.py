@@ -274,3 +274,14 @@ def test_index_has_a_file_or_a_few_for_each_cell(spark, tmp_path):
     V.build_index(rows.repartition(8), str(tmp_path), list(v[:10]))
     assert len(list((tmp_path / "vectors").rglob("*.parquet"))) <= 20
     assert spark.read.parquet(f"{tmp_path}/vectors").count() == 400
+
+
+def test_training_sample_stays_where_the_vectors_are(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    rows, fit, seen = unit_vectors(spark, n=2000)[0].repartition(4).persist(), KMeans.fit, []
+    monkeypatch.setattr(KMeans, "fit", lambda self, sample: seen.append((sample.rdd.getNumPartitions(), sample.count())) or fit(self, sample))
+    assert len(V.train_cells(rows, cells=4)) == 4 and len(V.train_cells(rows.where("vec_id < 80"), cells=4)) == 2
+    assert seen[0][0] == 4 and 200 <= seen[0][1] <= 200 + 12 * 200**0.5  # a tenth
+    assert seen[1][1] == 80  # 39 a cell and six roots of that more, so all
+    rows.unpersist()

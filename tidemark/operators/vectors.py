@@ -216,14 +216,19 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = C.TOP_K, exclude_own
 
 
 def train_cells(corpus: DataFrame, cells: int = C.N_LIST, seed: int = 42) -> list[np.ndarray]:
-    """Cell centres by k-means on a seeded sample: 39 vectors a cell or a tenth of all, ``TRAIN_MOST`` at most."""
+    """Cell centres by k-means on a seeded sample: 39 vectors a cell or a tenth of all, ``TRAIN_MOST`` at most, and six roots of that more.
+
+    The sample is drawn where the vectors are, by a bound on a hash of their ids; no task reads all of it.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = corpus.count()
     cells = X.cells_for(n, cells)
     wanted = min(n, max(39 * cells, min(n // 10, TRAIN_MOST)))
-    sample = corpus.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(wanted).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    share = (wanted + 6 * wanted**0.5) / max(1, n)  # of all hashes: at least as many vectors as wanted, but for one time in 1e9
+    drawn = corpus if wanted == n or share >= 1 else corpus.where(F.xxhash64("vec_id", F.lit(seed)) < F.lit(int(share * 2**64) - 2**63))
+    sample = drawn.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     return [np.asarray(c) for c in KMeans(k=cells, seed=seed).fit(sample).clusterCenters()]
 
 
